@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from platterlake.llm import chat, mixing
-from platterlake.llm.shared import table
+from platterlake.llm import chat, decontam, langid, mixing, quality
+from platterlake.llm.shared import fold, table
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    use = fold(F.col("doc_id")) != 0
+    scored = quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels"), use))
+    return scored.select("doc_id", (~use).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,17 +23,29 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.unionByName(chat.hard_case(spark))))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_language(table(spark, sf_dir, "documents"), fold(F.col("doc_id")) != 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op6_mixing_sources": op6_mixing_sources,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE,
+    "op3_benchmark_decontamination": decontam.ORACLE,
     "op6_mixing_sources": mixing.ORACLE,
 }
