@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platterlake.llm import chat, decontam, langid, mixing, quality
+from platterlake.llm import chat, decontam, langid, lattice, mixing, quality
 from platterlake.llm.shared import fold, table
 
 
@@ -32,6 +32,10 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(table(spark, sf_dir, "documents"), fold(F.col("doc_id")) != 0)
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op6_mixing_sources": op6_mixing_sources,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_language_id": op10_language_id,
 }
 

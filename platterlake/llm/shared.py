@@ -75,3 +75,63 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by `keys`; a table ends at the first group end past `rows` rows."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            end = int(group_starts(whole, keys)[-1])
+            if end:
+                yield whole.slice(0, end)
+            held, n = whole.slice(end).to_batches(), n - end
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def column(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy()
+
+
+def group_starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """First row of each group of rows sorted by `keys` (numbers without nulls)."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for key in keys:
+        x = column(rows, key)
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def group_pairs(starts: np.ndarray, total: int, at_once: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j), i < j, of all pairs inside each group, about `at_once` at a time."""
+    size = np.diff(np.append(starts, total))
+    end = np.repeat(starts + size, size)
+    later = end - np.arange(total) - 1
+    low, sums = 0, np.concatenate([[0], np.cumsum(later)])
+    while low < total:
+        high = max(low + 1, int(np.searchsorted(sums, sums[low] + at_once, "right")) - 1)
+        k = later[low:high]
+        i = np.repeat(np.arange(low, high), k)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        low = high
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes, the least node it is joined to by the links (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        for side in (a, b):
+            np.minimum.at(root, root[side], low)
+            np.minimum.at(root, side, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
