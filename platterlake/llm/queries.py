@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platterlake.llm import chat, decontam, langid, lattice, mixing, quality
+from platterlake.llm import chat, decontam, forest, langid, lattice, mixing, quality
 from platterlake.llm.shared import fold, table
 
 
@@ -36,6 +36,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(table(spark, sf_dir, "documents"), fold(F.col("doc_id")) != 0)
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op6_mixing_sources": op6_mixing_sources,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
 }
 
@@ -53,4 +58,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE,
     "op3_benchmark_decontamination": decontam.ORACLE,
     "op6_mixing_sources": mixing.ORACLE,
+    "op9_ngram_jaccard_join": forest.ORACLE,
 }
