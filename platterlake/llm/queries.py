@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platterlake.llm import chat, decontam, forest, langid, lattice, mixing, quality
+from platterlake.llm import chat, decontam, forest, langid, lattice, mixing, quality, suffixes
 from platterlake.llm.shared import fold, table
 
 
@@ -27,6 +27,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.digests(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_mixing_sources": op6_mixing_sources,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
