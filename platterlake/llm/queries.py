@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platterlake.llm import chat, decontam, forest, langid, lattice, mixing, quality, suffixes
+from platterlake.llm import chat, decontam, forest, langid, lattice, mixing, pitman_yor, quality, suffixes
 from platterlake.llm.shared import fold, table
 
 
@@ -36,6 +36,10 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"), fold(F.col("doc_id")) != 1)
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_mixing_sources": op6_mixing_sources,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
