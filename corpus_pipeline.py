@@ -1,8 +1,69 @@
-"""The corpus pipeline."""
+"""Corpus pipeline: five stages, each a corpus operator whose decisions the next stage works on.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
+next stage's `docs`. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from platterlake.llm import decontam, forest, mixing, quality, templates
+from platterlake.llm.shared import fold, table, written
+
+
+def _columns(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    return decided.select(*docs.columns)
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; all their columns."""
+    use = fold(F.col("doc_id")) != 0
+    model = quality.train(docs, table(spark, sf_dir, "labels"), use)
+    scored = quality.score_quality(docs, model, keep=tuple(docs.columns))
+    return _columns(docs, scored.where(F.col("score") >= quality.THRESHOLD))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that recur; one goes whole where every line that could be parsed recurs."""
+    left = templates.drop_recurring_lines(docs, keep=tuple(docs.columns))
+    left = left.where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_parsed")))
+    return _columns(docs, left.withColumn("n_chars", F.length("text").cast("long")))
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of least id."""
+    gone = forest.near_documents(docs).where("not kept").select("doc_id").distinct()
+    return _columns(docs, docs.join(gone, "doc_id", "left_anti"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with the benchmark."""
+    hit = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0)
+    return _columns(docs, docs.join(hit.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("quality classifier", classify_quality),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", join_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix),
+]
+
+#: A trained classifier, a log-template tree and an LSH forest come first, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what each returns is written to the shared folder before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
