@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platterlake.plans import bridge
-from platterlake.sinks.images import dfs_images
-from platterlake.sources import dfs
+from platterlake.functions.metadata import META, meta
+from platterlake.operators.metadata import resolve_members
+from platterlake.sinks.images import adfs_images, dfs_images
+from platterlake.sinks.server import archive_files, server_images
+from platterlake.sources import adfs, afs, archives, dfs
 from platterlake.sources.images import surfaces, with_layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +41,53 @@ def q45b_image_info(spark: SparkSession, d: str) -> DataFrame:
     return dfs.disc_info(_read(_images(spark, d))).select("image_id", "title", "cycle", "num_files", "total_sectors", "boot_option")
 
 
+def _file_bytes(length: str) -> Column:
+    return F.encode(F.expr(f"substring(repeat(md5(cast(cast(p_partkey as string) as binary)), cast(ceil({length} / 32.0) as int)), 1, cast({length} as int))"), "UTF-8")
+
+
+def q46_hierarchical_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Files of hierarchical images and the bytes they hold, through directory blocks and free maps."""
+    files = bridge.entries(spark, d).select("image_id", "name", F.when(F.col("locked"), "LWR").otherwise("WRr").alias("flags"), "load", (F.col("p_partkey") % 65536).alias("exec"), "length", _file_bytes("length").alias("data"))
+    discs = files.select("image_id").distinct().select("image_id", F.lit("BRIDGE").alias("title"), F.lit(7).alias("disc_id"), F.lit(2).alias("boot_option"), F.lit(1280).alias("total_sectors"))
+    images = adfs_images(files, discs)
+    found = adfs.read_files(images, adfs.entries(images, max_depth=1))
+    flags = F.array_join(F.array_sort(F.split("flags", "")), "")
+    return found.select("image_id", F.col("id").alias("path"), flags.alias("flags"), "load", "exec", "length", F.md5("data").alias("data_md5"))
+
+
+def q46b_hierarchical_map(spark: SparkSession, d: str) -> DataFrame:
+    """Free sectors by the free map, and what is wrong with the map (nothing)."""
+    files = bridge.entries(spark, d).select("image_id", "name", F.lit("WR").alias("flags"), "load", F.lit(0).alias("exec"), "length", _file_bytes("length").alias("data"))
+    discs = files.select("image_id").distinct().select("image_id", F.lit("BRIDGE").alias("title"), F.lit(7).alias("disc_id"), F.lit(2).alias("boot_option"), F.lit(1280).alias("total_sectors"))
+    images = adfs_images(files, discs)
+    free = adfs.free_regions(images).groupBy("image_id").agg(F.sum("length").alias("free_sectors"))
+    wrong = adfs.map_issues(images).groupBy("image_id").agg(F.count("code").alias("issues"))
+    info = adfs.disc_info(images).select("image_id", "title", "total_sectors", "disc_id", "boot_option")
+    return info.join(free, "image_id").join(wrong, "image_id", "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
+
+
+def q47_server_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Files of file-server partitions, through map chains, extents and directory lists."""
+    size = "(length * 40)"
+    files = bridge.entries(spark, d).withColumn("size", F.when(F.col("p_partkey") % 50 == 0, F.expr(size)).otherwise(F.col("length")))
+    files = files.select("image_id", "name", "load", (F.col("p_partkey") % 65536).alias("exec"), F.lit(0x0C).alias("access"), F.lit(0xD828).alias("packed_date"), _file_bytes("size").alias("data"))
+    images = server_images(files)
+    found = afs.object_bytes(images, afs.objects(images).where("issue is null"))
+    return found.select(F.col("image_id").cast("long").alias("image_id"), "path", "load", "exec", F.col("access").cast("long").alias("access"), "length", F.md5("data").alias("data_md5"))
+
+
+def q48_archive_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Members of archives with resolved metadata, from the bytes of archives that were built of them."""
+    k = F.floor(F.col("ordinal") / 2)
+    stamped = (k % 10 == 3) & F.col("content").isNull()
+    extra = F.when(stamped, meta(F.lit(0xFFFFFD00).cast("long"), k, F.lit(3))).otherwise(F.lit(None).cast(META))
+    data = F.coalesce(F.encode("content", "UTF-8"), F.encode("filename", "UTF-8"))
+    built = archive_files(bridge.members(spark, d).select("archive", "ordinal", "filename", data.alias("data"), extra.alias("extra_meta")))
+    found = resolve_members(archives.members(built))
+    return found.select(F.col("archive").cast("long").alias("archive"), "filename", "source", "meta.load", "meta.attr", "meta.filetype")
+
+
+QUERIES |= {"q46_hierarchical_roundtrip": q46_hierarchical_roundtrip, "q46b_hierarchical_map": q46b_hierarchical_map, "q47_server_objects": q47_server_objects, "q48_archive_scan": q48_archive_scan}
 QUERIES |= {"q45_image_roundtrip": q45_image_roundtrip, "q45b_image_info": q45b_image_info}
 ORACLE_SQL["q45_image_roundtrip"] = f"""
 WITH {bridge.SQL_ENTRIES}
@@ -46,3 +96,21 @@ SELECT image_id, ordinal - 1 AS ordinal, path, locked, load % 262144 AS load, p_
 ORACLE_SQL["q45b_image_info"] = f"""
 WITH {bridge.SQL_ENTRIES}
 SELECT image_id, 'DISC' || image_id AS title, CAST(0 AS BIGINT) AS cycle, count(*) AS num_files, CAST(800 AS BIGINT) AS total_sectors, CAST(3 AS BIGINT) AS boot_option FROM e GROUP BY image_id"""
+
+_BYTES = "md5(substr(repeat(md5(CAST(p_partkey AS VARCHAR)), CAST(ceil({0} / 32.0) AS INT)), 1, CAST({0} AS INT)))"
+ORACLE_SQL["q46_hierarchical_roundtrip"] = f"""
+WITH {bridge.SQL_ENTRIES}
+SELECT image_id, '$.' || name AS path, CASE WHEN locked THEN 'LRW' ELSE 'RWr' END AS flags, load, p_partkey % 65536 AS exec, length, {_BYTES.format("length")} AS data_md5 FROM e"""
+ORACLE_SQL["q46b_hierarchical_map"] = f"""
+WITH {bridge.SQL_ENTRIES}
+SELECT image_id, 'BRIDGE' AS title, CAST(1280 AS BIGINT) AS total_sectors, CAST(7 AS BIGINT) AS disc_id, CAST(2 AS BIGINT) AS boot_option,
+       CAST(1280 - 7 - sum(sectors) AS BIGINT) AS free_sectors, CAST(0 AS BIGINT) AS issues FROM e GROUP BY image_id"""
+ORACLE_SQL["q47_server_objects"] = f"""
+WITH {bridge.SQL_ENTRIES}, z AS (SELECT *, CASE WHEN p_partkey % 50 = 0 THEN length * 40 ELSE length END AS size FROM e)
+SELECT image_id, '$.' || name AS path, load, p_partkey % 65536 AS exec, CAST(12 AS BIGINT) AS access, size AS length, {_BYTES.format("size")} AS data_md5 FROM z"""
+ORACLE_SQL["q48_archive_scan"] = """
+WITH m AS (SELECT p_partkey AS k, CAST(floor(p_partkey / 40.0) AS BIGINT) AS archive, p_partkey % 5 AS r, (p_partkey * 2654435761) % 4294967296 AS a FROM part),
+s AS (SELECT *, CAST(CASE WHEN k % 10 = 3 THEN 4294966528 WHEN r = 0 THEN 4293918720 + (k % 4096) * 256 WHEN r = 1 THEN a WHEN r = 2 THEN k WHEN r = 4 THEN 4294966016 END AS BIGINT) AS load FROM m)
+SELECT archive, 'd/F' || k AS filename, CASE WHEN k % 10 = 3 THEN 'sparkfs' WHEN r < 3 THEN 'filename' WHEN r = 4 THEN 'inf-trad' END AS source, load,
+       CAST(CASE WHEN k % 10 = 3 THEN 3 WHEN r = 4 THEN 51 END AS BIGINT) AS attr,
+       CAST(CASE WHEN load & 4293918720 = 4293918720 THEN (load >> 8) & 4095 END AS BIGINT) AS filetype FROM s"""

@@ -108,3 +108,27 @@ def write_files(rows: DataFrame, folder: str, path: str = "path", data: str = "d
 
 def preview(rows: DataFrame, n: int = 20) -> pd.DataFrame:
     return rows.limit(n).toPandas()
+
+
+def adfs_images(files: DataFrame, discs: DataFrame) -> DataFrame:
+    """(image_id, content) of hierarchical images with all files in the root directory, 47 at most.
+
+    files: image_id, name, flags, load, exec, length, data; discs: image_id, title, disc_id, boot_option, total_sectors.
+    Files lie one behind the other from sector 7, in the order of their names.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("image_id").orderBy(F.upper("name")).rowsBetween(Window.unboundedPreceding, -1)
+    sectors = F.ceil(F.col("length") / SECTOR).cast("long")
+    first = F.lit(7) + F.coalesce(F.sum("sectors").over(order), F.lit(0))
+    placed = files.withColumn("sectors", sectors).withColumn("start_sector", F.when(F.col("sectors") > 0, first).otherwise(0)).withColumn("seq", F.lit(0))
+    n = Window.partitionBy("image_id")
+    placed = placed.withColumn("_n", F.count("name").over(n)).where("_n <= 47")
+    root = placed.select("image_id", F.lit("$").alias("dir_id"), F.lit("$").alias("dir_name"), F.lit("$").alias("title"), F.lit(2).alias("parent_sector"), F.lit(0).alias("sequence"), "name", "flags", "load", "exec", "length", "start_sector", "seq")
+    body = F.rpad("data", (F.col("sectors") * SECTOR).cast("int"), F.lit(b"\x00"))
+    bodies = placed.where("sectors > 0").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("start_sector", body.alias("body")))).alias("bodies"), F.sum("sectors").alias("used"))
+    free = F.struct((F.col("used") + 7).alias("start"), (F.col("total_sectors") - F.col("used") - 7).alias("length"))
+    all_discs = discs.join(bodies, "image_id", "left").withColumn("used", F.coalesce("used", F.lit(0))).withColumn("free", F.array(free))
+    joined = all_discs.join(adfs_directory(root).withColumnRenamed("block", "root"), "image_id").join(adfs_free_map(all_discs), "image_id")
+    data = F.aggregate(F.coalesce("bodies", F.array().cast(bodies.schema["bodies"].dataType)), F.lit(b""), lambda done, b: F.concat(done, b["body"]))
+    return joined.select("image_id", F.rpad(F.concat("sectors", "root", data), (F.col("total_sectors") * SECTOR).cast("int"), F.lit(b"\x00")).alias("content"))

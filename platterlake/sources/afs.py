@@ -173,3 +173,11 @@ def cylinder_bitmaps(images: DataFrame) -> DataFrame:
     cylinders = F.sequence(F.col("start_cylinder").cast("int"), F.col("cylinders").cast("int") - 1)
     rows = images.where("start_cylinder < cylinders").withColumn("cylinder", F.explode(cylinders))
     return rows.select("image_id", "cylinder", _sector(F.col("cylinder") * F.col("sectors_per_cylinder")).alias("bitmap"), F.col("sectors_per_cylinder").alias("sectors"))
+
+
+def object_bytes(images: DataFrame, found: DataFrame) -> DataFrame:
+    """The objects (image_id, path, length, extents) with their bytes, joined to the image's content."""
+    joined = found.join(images.select("image_id", "content"), "image_id")
+    cut = lambda done, x: F.concat(done, F.col("content").substr((x["start"] * SECTOR + 1).cast("int"), (x["length"] * SECTOR).cast("int")))
+    whole = F.aggregate("extents", F.lit(b""), cut)
+    return joined.withColumn("data", whole.substr(F.lit(1), F.col("length").cast("int"))).drop("content")
