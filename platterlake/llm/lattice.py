@@ -70,6 +70,7 @@ class Lattice:
     def __init__(self, dim: int, tables: int, probes: int, cell: float, seed: int):
         rng = np.random.default_rng([seed, dim])
         width = min(dim, 8)
+        cell *= (64 / max(dim, 8)) ** 0.5  # as far as a projection to 8 dimensions brings two vectors closer
         self.maps = [np.pad(np.linalg.qr(rng.normal(size=(dim, width)))[0], ((0, 0), (0, 8 - width))) / cell for _ in range(tables)]
         self.probes = probes
 
