@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from platterlake.operators import catalogue, metadata, partition, space, tree, users
+from platterlake.operators import catalogue, copying, metadata, partition, space, tree, users
 
 
 def rows(df, *columns):
@@ -153,3 +153,19 @@ def test_partition_plan(spark):
     assert rows(plan, "image_id", "code", "partition_cylinders", "start_sector") == [(1, None, 10, 1120), (2, None, 20, 960), (3, "not-compacted", None, None), (4, "empty", None, None), (5, "no-room", None, None)]
     free = spark.createDataFrame([(1, 100, 1180), (1, 1200, 5)], "image_id long, start_sector long, length long")
     assert rows(partition.clip_free(free, plan), "start_sector", "length") == [(100, 1020)]
+
+
+def test_first_fit_in_sequence(spark):
+    free = spark.createDataFrame([(1, 10, 4), (1, 20, 10), (2, 5, 1)], "image_id long, start_sector long, length long")
+    asked = spark.createDataFrame([(1, 1, 3), (1, 2, 6), (1, 3, 1), (1, 4, 5), (2, 1, 2), (3, 1, 1)], "image_id long, seq long, need long")
+    got = rows(copying.first_fit_sequence(free, asked), "image_id", "seq", "start")
+    assert got == [(1, 1, 10), (1, 2, 20), (1, 3, 13), (1, 4, None), (2, 1, None), (3, 1, None)]
+
+
+def test_scopes_and_emplaced_libraries(spark):
+    scoped = spark.createDataFrame([("afs:$.F",), ("$.F",)], "p string").select(copying.scope(F.col("p")).alias("s")).select("s.*").collect()
+    assert [tuple(s) for s in scoped] == [("afs", "$.F"), (None, "$.F")]
+    placed = tree.tree_paths(nodes(spark)).where("path is not null")
+    target = spark.createDataFrame([(1, "$.lib.b")], "image_id long, path string")
+    assert rows(copying.emplace(placed, target, "LIB"), "path", "replaced") == [("$.LIB.B", True)]
+    assert rows(catalogue.track_overlaps(spark.createDataFrame([(1, 0, 5), (1, 4, 6), (1, 6, 7)], "image_id long, start long, end long")), "start") == [(0,)]
