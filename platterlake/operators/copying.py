@@ -77,10 +77,11 @@ def first_fit_sequence(regions: DataFrame, requests: DataFrame, key: str = "imag
     What a request gets depends on those before it, so an image's few regions and its requests are folded in order.
     """
     region = "struct<start_sector: bigint, length: bigint>"
-    lists = regions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("start_sector").cast("long"), F.col("length").cast("long")))).alias("free"))
-    asked = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long"), F.col("need").cast("long")))).alias("asked"))
+    state_type = f"struct<free: array<{region}>, done: array<struct<seq: bigint, need: bigint, start: bigint>>>"
+    lists = regions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("start_sector").cast("long").alias("start_sector"), F.col("length").cast("long").alias("length")))).alias("free"))
+    asked = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("need").cast("long").alias("need")))).alias("asked"))
     joined = asked.join(lists, key, "left").withColumn("free", F.coalesce("free", F.array().cast(f"array<{region}>")))
-    start = F.struct(F.col("free").alias("free"), F.array().cast("array<struct<seq: bigint, need: bigint, start: bigint>>").alias("done"))
+    start = F.struct(F.col("free").alias("free"), F.array().alias("done")).cast(state_type)
 
     def serve(state: Column, r: Column) -> Column:
         fitting = F.filter(state["free"], lambda x: x["length"] >= r["need"])
@@ -88,6 +89,6 @@ def first_fit_sequence(regions: DataFrame, requests: DataFrame, key: str = "imag
         shrunk = F.transform(state["free"], lambda x: F.when(x["start_sector"] == taken, F.struct((x["start_sector"] + r["need"]).alias("start_sector"), (x["length"] - r["need"]).alias("length"))).otherwise(x))
         left = F.filter(shrunk, lambda x: x["length"] > 0)
         row = F.struct(r["seq"].alias("seq"), r["need"].alias("need"), taken.alias("start"))
-        return F.struct(F.when(taken.isNull(), state["free"]).otherwise(left).alias("free"), F.concat(state["done"], F.array(row)).alias("done"))
+        return F.struct(F.when(taken.isNull(), state["free"]).otherwise(left).alias("free"), F.concat(state["done"], F.array(row)).alias("done")).cast(state_type)
 
     return joined.select(key, F.aggregate("asked", start, serve)["done"].alias("done")).select(key, F.inline("done"))
