@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platterlake.llm.shared import column, group_starts, pieces, texts, whole_groups
+from platterlake.llm.shared import column, group_starts, pieces, texts, whole_groups, written
 
 #: Lines of fewer tokens are left alone: by chance they recur in texts that share nothing.
 MIN_TOKENS, LEADING, SIMILARITY = 8, 4, 0.7
 BLOCK = 512
 VARIABLE = b"<*>"
-_DIGITS = re.compile(rb"\S*[0-9]\S*")
+_DIGIT = re.compile(rb"[0-9]")
 _LAST_ID = (1 << 63) - 1
 
 
@@ -40,8 +40,8 @@ def parse_line(line: bytes, min_tokens: int = MIN_TOKENS, leading: int = LEADING
     words = line.split()
     if len(words) < min_tokens:
         return None
-    if _DIGITS.search(line):
-        words = [VARIABLE if _DIGITS.match(w) else w for w in words]
+    if _DIGIT.search(line):
+        words = [VARIABLE if _DIGIT.search(w) else w for w in words]
     leaf = xxhash.xxh3_64_intdigest(b"%d " % len(words) + b" ".join(words[: max(leading, len(words) // 4)]))
     return _signed(leaf), _signed(xxhash.xxh3_64_intdigest(b" ".join(words))), words
 
@@ -49,7 +49,8 @@ def parse_line(line: bytes, min_tokens: int = MIN_TOKENS, leading: int = LEADING
 def token_codes(words: list[bytes]) -> np.ndarray:
     """16 bits of each token's hash; 0 stands for a variable one."""
     codes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype(np.uint16) | np.uint16(1)
-    codes[[w == VARIABLE for w in words]] = 0
+    if VARIABLE in words:
+        codes[[w == VARIABLE for w in words]] = 0
     return codes
 
 
@@ -121,35 +122,32 @@ def drop_recurring_lines(
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))
     rows = docs.select(key.alias("_doc"), F.col(text_col).alias("_text"))
 
-    def read(with_codes: bool):
-        def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in pieces(batch, "_text"):
-                    doc, (raw, at) = piece.column(0).to_numpy(), texts(piece, "_text")
-                    own, leaf, name, codes = [], [], [], []
-                    for d, low, high in zip(doc, at[:-1], at[1:], strict=True):
-                        seen = set()
-                        for line in raw[low:high].tobytes().split(b"\n"):
-                            p = parse_line(line, min_tokens, leading)
-                            if p and p[1] not in seen:
-                                seen.add(p[1])
-                                own.append(d)
-                                leaf.append(p[0])
-                                name.append(p[1])
-                                if with_codes:
-                                    codes.append(token_codes(p[2]).tobytes())
-                    columns = [pa.array(own, pa.int64()), pa.array(name, pa.int64())]
-                    more = [pa.array(leaf, pa.int64()), pa.array(codes, pa.binary())] if with_codes else []
-                    yield pa.RecordBatch.from_arrays(columns + more, ["doc", "line", "leaf", "codes"][: 2 + len(more)])
-
-        return rows.mapInArrow(lines, "doc long, line long" + ", leaf long, codes binary" * with_codes)
-
-    distinct = read(True).groupBy("leaf", "line").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("codes").alias("codes"))
-    templates = line_templates(distinct.select("leaf", "line", "codes"), similarity, block)
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "_text"):
+                doc, (raw, at) = piece.column(0).to_numpy(), texts(piece, "_text")
+                own, leaf, name, codes = [], [], [], []
+                for d, low, high in zip(doc, at[:-1], at[1:], strict=True):
+                    seen = set()
+                    for line in raw[low:high].tobytes().split(b"\n"):
+                        p = parse_line(line, min_tokens, leading)
+                        if p and p[1] not in seen:
+                            seen.add(p[1])
+                            own.append(d)
+                            leaf.append(p[0])
+                            name.append(p[1])
+                            codes.append(token_codes(p[2]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(leaf, pa.int64()), pa.array(name, pa.int64()), pa.array(codes, pa.binary())], ["doc", "leaf", "line", "codes"])
+
+    where = written(rows.mapInArrow(lines, "doc long, leaf long, line long, codes binary"))
+    distinct = where.groupBy("leaf", "line").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    crowded = distinct.groupBy("leaf").agg(F.count("line").alias("lines")).where("lines > 1")
+    coded = where.join(crowded.select("leaf"), "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("codes").alias("codes"))
+    templates = line_templates(coded, similarity, block)
     named = distinct.select("line", "low", "high").join(templates, "line", "left").withColumn("template", F.coalesce("template", "line"))
     recurring = named.groupBy("template").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where("first_doc < last_doc")
     dropped = named.join(recurring, "template").where("high > first_doc").select("line", "first_doc")
-    per_doc = read(False).join(dropped, "line").where("doc <> first_doc").groupBy("doc").agg(F.collect_list("line").alias("_drop"))
+    per_doc = where.select("doc", "line").join(dropped, "line").where("doc <> first_doc").groupBy("doc").agg(F.collect_list("line").alias("_drop"))
 
     kept_columns = docs.select(key.alias("_doc"), F.col(text_col).alias("_text"), *[F.col(c) for c in keep if c not in (id_col, text_col)])
     joined = kept_columns.join(per_doc, kept_columns["_doc"] == per_doc["doc"], "left").drop("doc")
@@ -167,9 +165,9 @@ def drop_recurring_lines(
                     lines = text.split("\n")
                     gone, left, n_parsed = set(drop or ()), [], 0
                     for line in lines:
-                        p = parse_line(line.encode("utf-8", "surrogatepass"), min_tokens, leading)
-                        n_parsed += p is not None
-                        if not (p and p[1] in gone):
+                        parsed = len(line.encode().split()) >= min_tokens
+                        n_parsed += parsed
+                        if not (parsed and gone and parse_line(line.encode(), min_tokens, leading)[1] in gone):
                             left.append(line)
                     out.append("\n".join(left))
                     counts.append((len(lines), n_parsed, len(lines) - len(left)))
