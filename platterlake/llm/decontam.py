@@ -9,8 +9,6 @@ words is found, as its window has the same name on both sides.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,49 +27,55 @@ def _slide(n: Column, width: int, f) -> Column:
     return F.when(n >= width, F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), f)).otherwise(F.array())
 
 
-def _names(words: Column, window: int, gram: int) -> list[tuple[str, Column]]:
-    """Columns to add one after another; the last, `_names`, has the name of the window at each start."""
-    hashes, grams, n = F.col("_h"), F.col("_g"), F.size("_h")
-    return [
-        ("_h", F.transform(words, lambda w: F.xxhash64(w))),
-        ("_g", _slide(n, gram, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(gram)]))),
-        ("_names", _slide(n, window, lambda i: F.least(*[F.get(grams, i + k) for k in range(window - gram + 1)]) if window > gram else F.get(grams, i))),
-    ]
+def _named(rows: DataFrame, lengths: list[int], gram: int) -> DataFrame:
+    """Rows with `_words`, and `_names`: for each length, the name of the window at each start.
+
+    A column that a lambda reads has to be read there more than once, or Spark builds it anew for every element.
+    """
+    d, n = rows.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w))), F.size("_h")
+    hashes = F.col("_h")
+
+    def gram_at(k: int):
+        return lambda i: F.xxhash64(F.lit(k), *[F.get(hashes, i + j) for j in range(k)])
+
+    for k in sorted({min(gram, length) for length in lengths}):
+        d = d.withColumn(f"_g{k}", _slide(n, k, gram_at(k)))
 
+    def names(length: int) -> Column:
+        k = min(gram, length)
+        grams = F.col(f"_g{k}")
+        return grams if k == length else _slide(n, length, lambda i: F.least(*[F.get(grams, i + j) for j in range(length - k + 1)]) + F.lit(length))
 
-def _with_names(df: DataFrame, window: int, gram: int) -> DataFrame:
-    return reduce(lambda d, x: d.withColumn(*x), _names(F.col("_words"), window, gram), df).drop("_h", "_g")
+    named = d.withColumn("_names", F.array(*[names(length) for length in lengths]))
+    return named.drop("_h", *[c for c in named.columns if c.startswith("_g")])
 
 
-def _window_text(start: Column, length: int) -> Column:
+def _window_text(start: Column, length: Column) -> Column:
     return F.array_join(F.slice("_words", start + 1, length), " ")
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc, text hash, start, length, win) of each document window found, and (item, win) of the benchmark."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item_id"), words_of(F.col(item_text_col)).alias("_words"))
-    items = items.where(F.size("_words") > 0).distinct()
-    lengths = [r["n"] for r in items.select(F.least(F.size("_words"), F.lit(window)).alias("n")).distinct().collect()]
+    items = items.where(F.size("_words") > 0).distinct().withColumn("length", F.least(F.size("_words"), F.lit(window)))
+    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # `window` numbers at most
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_text"), words_of(F.col(text_col)).alias("_words"))
-    hits, wins = [], []
-    for n in sorted(lengths):  # the full window, and each shorter length that a whole item has: `window` passes at most
-        k = min(gram, n)
-        of_length = items.where(F.size("_words") >= n if n == window else F.size("_words") == n)
-        own = _with_names(of_length, n, k).select("item_id", "_words", F.posexplode_outer("_names").alias("start", "name"))
-        own = own.select("item_id", "name", _window_text(F.col("start"), n).alias("win"))
-        names, texts = own.select("name").distinct(), own.select("win").distinct()
-        if texts.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-            names, texts = F.broadcast(names), F.broadcast(texts)
-        # explode_outer: explode would have Spark test the names' size first, and build them twice for it
-        found = _with_names(rows, n, k).select("doc_id", "_text", "_words", "_names", F.explode_outer(F.array_distinct("_names")).alias("name")).join(names, "name")
-        starts = F.filter(F.sequence(F.lit(0), F.size("_names") - 1), lambda i: F.get(F.col("_names"), i) == F.col("name"))
-        spread = found.select("doc_id", "_text", "_words", F.explode(starts).alias("start"))
-        hits.append(spread.select("doc_id", "_text", "start", F.lit(n).alias("length"), _window_text(F.col("start"), n).alias("win")).join(texts, "win"))
-        wins.append(own.select("item_id", "win").distinct())
-    if not hits:
-        empty = rows.select("doc_id", "_text", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("win")).limit(0)
-        return empty, items.select("item_id", F.lit("").alias("win")).limit(0)
-    return reduce(DataFrame.unionByName, hits), reduce(DataFrame.unionByName, wins)
+    if not lengths:
+        nothing = rows.select("doc_id", "_text", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("win")).limit(0)
+        return nothing, items.select("item_id", F.lit("").alias("win")).limit(0)
+    own_names = F.get("_names", F.array_position(F.array(*[F.lit(x) for x in lengths]), F.col("length")).cast("int") - 1)
+    own = _named(items, lengths, gram).select("item_id", "_words", "length", F.posexplode_outer(own_names).alias("start", "name"))
+    own = own.select("item_id", "length", "name", _window_text(F.col("start"), F.col("length")).alias("win"))
+    names, wins = own.select("name", "length").distinct(), own.select("item_id", "win").distinct()
+    found = wins.select("win").distinct()
+    if found.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        names, found = F.broadcast(names), F.broadcast(found)
+    # explode_outer: explode would have Spark test the names' size first, and build them twice for it
+    spread = _named(rows, lengths, gram).select("doc_id", "_text", "_words", "_names", F.explode_outer(F.array_distinct(F.flatten("_names"))).alias("name"))
+    met = spread.join(names, "name")
+    starts = F.filter(F.sequence(F.lit(0), F.size(own_names) - 1), lambda i: F.get(own_names, i) == F.col("name"))
+    at = met.where(F.size(own_names) > 0).select("doc_id", "_text", "_words", "length", F.explode(starts).alias("start"))
+    return at.select("doc_id", "_text", "start", "length", _window_text(F.col("start"), F.col("length")).alias("win")).join(found, "win"), wins
 
 
 def _merged(spans: Column) -> Column:

@@ -142,7 +142,7 @@ def drop_recurring_lines(
     where = written(rows.mapInArrow(lines, "doc long, leaf long, line long, codes binary"))
     distinct = where.groupBy("leaf", "line").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     crowded = distinct.groupBy("leaf").agg(F.count("line").alias("lines")).where("lines > 1")
-    coded = where.join(crowded.select("leaf"), "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("codes").alias("codes"))
+    coded = written(where.join(crowded.select("leaf"), "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("codes").alias("codes")))
     templates = line_templates(coded, similarity, block)
     named = distinct.select("line", "low", "high").join(templates, "line", "left").withColumn("template", F.coalesce("template", "line"))
     recurring = named.groupBy("template").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where("first_doc < last_doc")
