@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platterlake.llm.shared import written
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A benchmark of at most so many distinct windows is broadcast; a larger one is joined by shuffle.
@@ -54,28 +56,15 @@ def _window_text(start: Column, length: Column) -> Column:
     return F.array_join(F.slice("_words", start + 1, length), " ")
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc, text hash, start, length, win) of each document window found, and (item, win) of the benchmark."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item_id"), words_of(F.col(item_text_col)).alias("_words"))
-    items = items.where(F.size("_words") > 0).distinct().withColumn("length", F.least(F.size("_words"), F.lit(window)))
-    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # `window` numbers at most
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_text"), words_of(F.col(text_col)).alias("_words"))
-    if not lengths:
-        nothing = rows.select("doc_id", "_text", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("win")).limit(0)
-        return nothing, items.select("item_id", F.lit("").alias("win")).limit(0)
+def _benchmark(items: DataFrame, lengths: list[int], gram: int) -> tuple[DataFrame, DataFrame]:
+    """(name, length) of the benchmark's windows and (win, items), a window's words and the items that hold it."""
     own_names = F.get("_names", F.array_position(F.array(*[F.lit(x) for x in lengths]), F.col("length")).cast("int") - 1)
     own = _named(items, lengths, gram).select("item_id", "_words", "length", F.posexplode_outer(own_names).alias("start", "name"))
-    own = own.select("item_id", "length", "name", _window_text(F.col("start"), F.col("length")).alias("win"))
-    names, wins = own.select("name", "length").distinct(), own.select("item_id", "win").distinct()
-    found = wins.select("win").distinct()
-    if found.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        names, found = F.broadcast(names), F.broadcast(found)
-    # explode_outer: explode would have Spark test the names' size first, and build them twice for it
-    spread = _named(rows, lengths, gram).select("doc_id", "_text", "_words", "_names", F.explode_outer(F.array_distinct(F.flatten("_names"))).alias("name"))
-    met = spread.join(names, "name")
-    starts = F.filter(F.sequence(F.lit(0), F.size(own_names) - 1), lambda i: F.get(own_names, i) == F.col("name"))
-    at = met.where(F.size(own_names) > 0).select("doc_id", "_text", "_words", "length", F.explode(starts).alias("start"))
-    return at.select("doc_id", "_text", "start", "length", _window_text(F.col("start"), F.col("length")).alias("win")).join(found, "win"), wins
+    own = written(own.select("item_id", "length", "name", _window_text(F.col("start"), F.col("length")).alias("win")))
+    names, wins = own.select("name", "length").distinct(), own.groupBy("win").agg(F.collect_set("item_id").alias("items"))
+    if own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        return F.broadcast(names), F.broadcast(wins)
+    return names, wins
 
 
 def _merged(spans: Column) -> Column:
@@ -107,23 +96,39 @@ def decontaminate(
     ids are one more id. Repeated rows get a row each, with equal results. Without documents there are no
     rows; without items every document is clean. Other columns are ignored.
     """
-    hits, wins = benchmark_hits(docs, benchmark, window, gram, id_col, text_col, item_col, item_text_col)
-    span = F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.col("length")).cast("int").alias("stop"))
+    no_spans, no_items = F.array().cast("array<struct<start:int,stop:int>>"), F.array().cast("array<string>")
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item_id"), words_of(F.col(item_text_col)).alias("_words"))
+    items = items.where(F.size("_words") > 0).distinct().withColumn("length", F.least(F.size("_words"), F.lit(window)))
+    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # `window` numbers at most
     keys = ["doc_id", "_text"]
-    per_doc = hits.groupBy(*keys).agg(F.collect_set(span).alias("spans"))
-    occurring = hits.select(*keys, "win").distinct().join(wins, "win").groupBy(*keys).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    found = per_doc.join(occurring, (per_doc["doc_id"].eqNullSafe(occurring["doc_id"])) & (per_doc["_text"] == occurring["_text"]))
-    found = found.select(per_doc["doc_id"].alias("_id"), per_doc["_text"].alias("_t"), "spans", "items")
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.xxhash64(text_col).alias("_text"),
-        F.coalesce(F.regexp_count(F.translate(F.col(text_col), _UPPER, _LOWER), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"),
-    )
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")), "left").select(
-        "doc_id",
-        "n_words",
-        F.coalesce(_merged(F.col("spans")), F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("_raw"))
+    worded = rows.select(*keys, words_of(F.col("_raw")).alias("_words"))
+    n_words = F.size("_words").cast("long").alias("n_words")
+    if not lengths:
+        return worded.select("doc_id", n_words, no_spans.alias("spans"), no_items.alias("items"))
+    names, wins = _benchmark(items, lengths, gram)
+
+    # One pass over all texts: each row's first entry stands for the row, the others are its names. posexplode_outer,
+    # as posexplode would have Spark test the entries' size first, and build them twice for it.
+    entries = F.concat(F.array(F.xxhash64(*keys)), F.array_distinct(F.flatten("_names")))
+    spread = _named(worded.select(*keys, "_words", n_words), lengths, gram).select(*keys, "n_words", F.posexplode_outer(entries).alias("_at", "name"))
+    met = written(spread.join(names, "name", "left").where("_at = 0 or length is not null").select(*keys, "n_words", "_at"))
+
+    # The texts with a name of the benchmark again: their windows of such names are extended to all words.
+    some = met.where("_at > 0").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t"))
+    again = _named(rows.join(some, same, "left_semi").select(*keys, words_of(F.col("_raw")).alias("_words")), lengths, gram)
+
+    def extended(at: int, length: int) -> Column:
+        return F.transform(F.get("_names", F.lit(at)), lambda name, i: F.struct(i.alias("start"), F.lit(length).alias("length"), name.alias("name"), _window_text(i, F.lit(length)).alias("win")))
+
+    windows = F.flatten(F.array(*[extended(at, length) for at, length in enumerate(lengths)]))
+    hits = again.select(*keys, F.explode_outer(windows).alias("w")).select(*keys, "w.*").join(names, ["name", "length"]).join(wins, "win")
+    span = F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.col("length")).cast("int").alias("stop"))
+    found = hits.groupBy(*keys).agg(F.collect_set(span).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "spans", "items")
+    return met.where("_at = 0").join(found, same, "left").select(
+        "doc_id", "n_words", F.coalesce(_merged(F.col("spans")), no_spans).alias("spans"), F.coalesce("items", no_items).alias("items")
     )
 
 
