@@ -474,3 +474,33 @@ def test_model_without_training_rows(spark):
     got = pitman_yor.score_texts(frame(spark, corpus()), F.lit(False)).collect()
     assert len(got) == len(corpus()) and all(r["n_known"] == 0 and np.isfinite(r["score"]) for r in got)
     assert pitman_yor.score_texts(empty(spark), F.lit(True)).collect() == []
+
+
+def test_model_learns_pairs_of_words_outside_the_classes(spark):
+    """`red` and `blue`, `fox` and `owl` are equally frequent and none of the two classes; only the pairs differ."""
+    texts_ = ["a b " * 30 + f"{'red fox' if i % 2 else 'blue owl'} b a" for i in range(40)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts_)] + [(100, "red fox", "en", "s", 0), (101, "red owl", "en", "s", 0), (102, "blue fox", "en", "s", 0)]
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(frame(spark, rows), F.col("doc_id") < 100, classes=2, frequent=3).collect()}
+    assert got[100] > got[101] + 1 and got[100] > got[102] + 1
+
+
+def test_pair_restaurants_sum_to_one(spark):
+    """Over all words and one unseen, for every context that was seen; no context or word is left out."""
+    df = frame(spark, corpus()).where("doc_id < 900").select("text")
+    model, counts = pitman_yor.learn(df, classes=20, frequent=100)
+    shared = spark.sparkContext.broadcast(model)
+    cells = pitman_yor.pair_cells(df, shared).groupBy("context", "word").agg(F.sum("n").alias("n"))
+    rare = pitman_yor.rare_counts(cells)
+    sampled = pitman_yor.sample_pairs(cells, rare, shared).collect()
+    seen = {r["word"]: r["seen"] for r in rare.collect()}
+    keys = np.array([*range(len(model.words)), pitman_yor.END_KEY, *seen, pitman_yor.RARE])
+    count = np.array([*[0] * (len(model.words) + 1), *seen.values(), 0])
+    left = {r["context"]: r["log_p"] for r in sampled if r["word"] == -1}
+    known = {(r["context"], r["word"]): r["log_p"] for r in sampled if r["word"] >= 0}
+    words_ = {w for r in df.collect() for w in (r["text"] or "").lower().split()}
+    assert len(keys) == len(words_) + 2 and len(left) >= len(words_) - 20
+    for context, rest in left.items():
+        outer, inner = pitman_yor.parents(model, np.full(len(keys), context), keys, count)
+        is_class = context < 20 or context == pitman_yor.END_KEY
+        p = [10 ** known.get((context, w), rest + o + i) for w, o, i in zip(keys.tolist(), outer, inner, strict=True) if not is_class or 20 <= w != pitman_yor.END_KEY]
+        assert sum(p) == pytest.approx(10 ** outer[-1], abs=2e-3)
