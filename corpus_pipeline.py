@@ -26,9 +26,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that recur; one goes whole where every line that could be parsed recurs."""
+    """Documents without the lines that recur; one goes whole only where lines were cut and no line that isn't blank is left."""
     left = templates.drop_recurring_lines(docs, keep=tuple(docs.columns))
-    left = left.where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_parsed")))
+    left = left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     return _columns(docs, left.withColumn("n_chars", F.length("text").cast("long")))
 
 

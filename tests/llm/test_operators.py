@@ -219,6 +219,16 @@ def test_line_dedup_edges(spark):
     assert templates.drop_recurring_lines(empty(spark)).collect() == []
 
 
+def test_pipeline_keeps_documents_with_own_lines_left(spark):
+    """A footer that recurs takes no line with it that stands nowhere else, however short; copies go whole."""
+    import corpus_pipeline
+
+    footer = "this footer of nine words stands below every page"
+    rows = [(i, text, "en", "s", len(text)) for i, text in enumerate([f"roses red\n{footer}", f"violets blue\n{footer}", footer, f"\n{footer}\n \n"])] + [(9, None, "en", "s", None), (10, "", "en", "s", 0)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, frame(spark, rows, clash=False), "").collect()}
+    assert got == {0: f"roses red\n{footer}", 1: "violets blue", 9: None, 10: ""}
+
+
 # --- near copies ----------------------------------------------------------------------------------------------
 
 
