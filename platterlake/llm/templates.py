@@ -1,7 +1,8 @@
 """Line dedup by a log-template tree.
 
 A line falls down a tree of fixed depth: by its number of tokens, then by its leading tokens (four, or a quarter
-where that is more), where a token with a digit counts as variable (`<*>`). In a leaf it joins the most similar template (the share of equal tokens at
+where that is more), where a token with a digit counts as variable (`<*>`); a line of such tokens alone has nothing that shows a template
+and is taken literally. In a leaf it joins the most similar template (the share of equal tokens at
 equal places, at least `similarity`), whose differing places become variable too, or founds one. A template
 whose lines stand in more than one document stays in the first of them, by id, and its lines are dropped from
 all others.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from platterlake.llm.shared import column, group_starts, pieces, texts, whole_groups, written
 
-#: Lines of fewer tokens are left alone: by chance they recur in texts that share nothing.
-MIN_TOKENS, LEADING, SIMILARITY = 8, 4, 0.7
+#: Lines of fewer tokens are left alone: none but blank ones.
+MIN_TOKENS, LEADING, SIMILARITY = 1, 4, 0.7
 BLOCK = 512
 VARIABLE = b"<*>"
 _DIGIT = re.compile(rb"[0-9]")
@@ -41,7 +42,8 @@ def parse_line(line: bytes, min_tokens: int = MIN_TOKENS, leading: int = LEADING
     if len(words) < min_tokens:
         return None
     if _DIGIT.search(line):
-        words = [VARIABLE if _DIGIT.search(w) else w for w in words]
+        masked = [VARIABLE if _DIGIT.search(w) else w for w in words]
+        words = masked if any(w is not VARIABLE for w in masked) else words
     leaf = xxhash.xxh3_64_intdigest(b"%d " % len(words) + b" ".join(words[: max(leading, len(words) // 4)]))
     return _signed(leaf), _signed(xxhash.xxh3_64_intdigest(b" ".join(words))), words
 
@@ -115,7 +117,7 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """(the columns named in `keep`, doc_id, text without the dropped lines, n_lines, n_parsed, n_dropped) for each row.
 
-    Lines end at line feeds; blank and short ones are neither parsed nor dropped. Within one document nothing is
+    Lines end at line feeds; blank ones are neither parsed nor dropped. Within one document nothing is
     dropped for recurring. Null text stays null, with no lines; an empty one is one blank line. Null ids come
     after all others. Rows that share an id are one document. Empty table: no rows. Columns not named are ignored.
     """

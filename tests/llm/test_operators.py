@@ -219,6 +219,14 @@ def test_line_dedup_edges(spark):
     assert templates.drop_recurring_lines(empty(spark)).collect() == []
 
 
+def test_line_dedup_sees_short_lines(spark):
+    """Lines of 1 to 7 tokens; numbers alone are no template, but equal ones recur."""
+    short = ["Licensed under the Apache License, Version 2.0.", "one", "two words", "line 7 of 9", "1984", "5 6"]
+    rows = [(1, "\n".join(short)), (2, "\n".join([*short[:3], "line 8 of 9", "1985", "5 6", "", "own"])), (3, "two words\nand more")]
+    got = {r["doc_id"]: r["text"] for r in templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "1985\n\nown", 3: "and more"} == templates.brute_force(rows)
+
+
 def test_pipeline_keeps_documents_with_own_lines_left(spark):
     """A footer that recurs takes no line with it that stands nowhere else, however short; copies go whole."""
     import corpus_pipeline
