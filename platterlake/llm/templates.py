@@ -2,13 +2,14 @@
 
 A line falls down a tree of fixed depth: by its number of tokens, then by its leading tokens (four, or a quarter
 where that is more), where a token with a digit counts as variable (`<*>`); a line of such tokens alone has nothing that shows a template
-and is taken literally. In a leaf it joins the most similar template (the share of equal tokens at
-equal places, at least `similarity`), whose differing places become variable too, or founds one. A template
-whose lines stand in more than one document stays in the first of them, by id, and its lines are dropped from
-all others.
-
-Equal lines are one before they reach a leaf. A leaf's lines are taken in the order of their hash; a leaf of
-more than `BLOCK` different lines is parsed in parts by hash, and the parts' templates are parsed once more.
+and is taken literally. Lines of
+a leaf are linked where the share of equal tokens at equal places is at least `similarity`; a template is a set of
+lines that links join. A template whose lines stand in more than one document stays in the first of them, by id, and
+its lines are dropped from all others.
+
+Equal lines are one before they reach a leaf. Which lines are linked depends on nothing but the two lines, so a leaf
+can be dealt in parts by hash: each two parts of at most about `BLOCK` lines meet in a group of their own, and what is
+linked there is joined over all groups.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platterlake.llm.shared import column, group_starts, pieces, texts, whole_groups, written
+from platterlake.llm.components import connected_components
+from platterlake.llm.shared import column, group_starts, local_roots, pieces, texts, whole_groups, written
 
 #: Lines of fewer tokens are left alone: none but blank ones.
 MIN_TOKENS, LEADING, SIMILARITY = 1, 4, 0.7
@@ -56,53 +58,42 @@ def token_codes(words: list[bytes]) -> np.ndarray:
     return codes
 
 
-def group_lines(codes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the template of each row of codes, taken in order, and the templates' codes (0: variable)."""
-    templates = np.zeros_like(codes[:0])
-    chosen = np.zeros(len(codes), np.int64)
-    for i, row in enumerate(codes):
-        share = (templates == row).mean(1) if len(templates) else np.zeros(0)
-        best = int(share.argmax()) if len(share) else 0
-        if len(share) and share[best] >= similarity:
-            templates[best][templates[best] != row] = 0
-        else:
-            best = len(templates)
-            templates = np.vstack([templates, row])
-        chosen[i] = best
-    return chosen, templates
+def linked(codes: np.ndarray, similarity: float) -> np.ndarray:
+    """For each row of codes, the first row it is joined to by links."""
+    a, b = [], []
+    for i in range(len(codes) - 1):
+        other = np.flatnonzero((codes[i + 1 :] == codes[i]).mean(1) >= similarity) + i + 1
+        a.append(np.full(len(other), i))
+        b.append(other)
+    return local_roots(len(codes), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(codes))
 
 
 def line_templates(lines: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(line, template) for distinct lines (leaf, line, codes): the template's name is that of its first line."""
-    grouped = ["leaf", "part"]
+    """(line, template) for distinct lines (leaf, line, codes): the template's name is that of its least line."""
+    grouped = ["leaf", "low", "high"]
 
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, grouped):
             starts = group_starts(group, grouped)
             line, codes = column(group, "line"), group.column("codes").to_pylist()
-            template, shape = line.copy(), list(codes)
+            template = line.copy()
             for low, high in zip(starts, np.append(starts[1:], len(group)), strict=True):
                 if high - low > 1:
-                    chosen, shapes = group_lines(np.stack([np.frombuffer(c, np.uint16) for c in codes[low:high]]), similarity)
-                    first = np.unique(chosen, return_index=True)[1]
-                    template[low:high] = line[low:high][first[chosen]]
-                    for i, k in enumerate(chosen):
-                        shape[low + i] = shapes[k].tobytes()
-            columns = [group.column("leaf").combine_chunks(), pa.array(line), pa.array(template), pa.array(shape, pa.binary())]
-            yield from pa.Table.from_arrays(columns, ["leaf", "line", "template", "codes"]).to_batches()
-
-    def run(rows: DataFrame) -> DataFrame:
-        dealt = rows.repartition(*grouped).sortWithinPartitions(*grouped, "line")
-        return dealt.select("leaf", "part", "line", "codes").mapInArrow(parsed, "leaf long, line long, template long, codes binary")
+                    template[low:high] = line[low:high][linked(np.stack([np.frombuffer(c, np.uint16) for c in codes[low:high]]), similarity)]
+            large = column(group, "high") > 0
+            told = ~large | (line != template)
+            yield from pa.table([line[told], template[told], large[told]], ["line", "template", "large"]).to_batches()
 
     sizes = lines.groupBy("leaf").agg(F.count("line").alias("lines")).where("lines > 1")
-    parts = F.ceil(F.col("lines") / block).cast("int")
-    shared = lines.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("line", F.lit(1)), parts).cast("int"))
-    once = run(shared)
-    large = sizes.where(F.col("lines") > block).select("leaf")
-    firsts = once.where("line = template").join(large, "leaf", "left_semi").select("leaf", F.lit(0).alias("part"), "line", "codes")
-    merged = run(firsts).select(F.col("line").alias("template"), F.col("template").alias("final"))
-    return once.join(merged, "template", "left").select("line", F.coalesce("final", "template").alias("template"))
+    # a part holds half a block, for two of them meet; a leaf of up to a block is one group
+    parts = F.when(F.col("lines") <= block, 1).otherwise(F.ceil(F.col("lines") * 2 / block)).cast("int")
+    shared = lines.join(sizes, "leaf").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("line", F.lit(1)), F.col("parts")).cast("int"))
+    met = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("own")))
+    dealt = shared.withColumn("other", F.explode(met)).select("leaf", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "line", "codes")
+    run = dealt.repartition(*grouped).sortWithinPartitions(*grouped, "line").mapInArrow(joined, "line long, template long, large boolean")
+    once = written(run)
+    whole = connected_components(once.where("large").select("line", "template"), "line", "template")
+    return once.where("not large").select("line", "template").unionByName(whole.select(F.col("node").alias("line"), F.col("component").alias("template")))
 
 
 def drop_recurring_lines(
@@ -183,7 +174,7 @@ def drop_recurring_lines(
 
 
 def brute_force(docs: list[tuple[int, str]], similarity: float = SIMILARITY) -> dict[int, str]:
-    """The texts that are left, by dictionaries over all lines in one process (for tests; leaves of at most `BLOCK` lines)."""
+    """The texts that are left, by dictionaries over all lines in one process (for tests)."""
     leaves: dict[int, dict[int, np.ndarray]] = {}
     where: dict[int, set[int]] = {}
     for doc, text in docs:
@@ -193,11 +184,16 @@ def brute_force(docs: list[tuple[int, str]], similarity: float = SIMILARITY) ->
                 where.setdefault(p[1], set()).add(doc)
     first: dict[int, int] = {}
     for lines in leaves.values():
-        names = sorted(lines)
-        chosen, templates = group_lines(np.stack([lines[n] for n in names]), similarity)
-        for k in range(len(templates)):
-            own = [n for n, c in zip(names, chosen, strict=True) if c == k]
-            first |= dict.fromkeys(own, min(min(where[n]) for n in own))
+        names, codes = list(lines), np.stack(list(lines.values()))
+        left = set(range(len(names)))
+        while left:
+            own = todo = {left.pop()}
+            while todo:
+                near = {int(j) for i in todo for j in np.flatnonzero((codes == codes[i]).mean(1) >= similarity)}
+                todo = near & left
+                left -= todo
+                own = own | todo
+            first |= dict.fromkeys((names[i] for i in own), min(min(where[names[i]]) for i in own))
     out = {}
     for doc, text in docs:
         parsed = [(line, parse_line(line.encode())) for line in (text or "").split("\n")]

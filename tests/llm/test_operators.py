@@ -219,6 +219,16 @@ def test_line_dedup_edges(spark):
     assert templates.drop_recurring_lines(empty(spark)).collect() == []
 
 
+def test_line_dedup_of_a_large_leaf_equals_brute_force(spark):
+    """3,000 different lines in one leaf, some 0.3 links each, and the same whatever the size of a part."""
+    rng = random.Random(11)
+    rows = [(i, "these four come first " + " ".join(f"{c}{chr(97 + rng.randrange(26))}{'xy'[rng.randrange(2)]}" for c in "abcdef")) for i in range(3000)]
+    df, truth = spark.createDataFrame(rows, "doc_id long, text string"), templates.brute_force(rows)
+    assert 100 < sum(not t for t in truth.values()) < 2900
+    for block in (templates.BLOCK, 4096):
+        assert {r["doc_id"]: r["text"] for r in templates.drop_recurring_lines(df, block=block).collect()} == truth
+
+
 def test_line_dedup_sees_short_lines(spark):
     """Lines of 1 to 7 tokens; numbers alone are no template, but equal ones recur."""
     short = ["Licensed under the Apache License, Version 2.0.", "one", "two words", "line 7 of 9", "1984", "5 6"]
