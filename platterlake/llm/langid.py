@@ -14,16 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platterlake.llm.shared import pieces, text_bytes
+from platterlake.llm.shared import pieces, text_bytes, written
 
 #: Bytes of context; a gram of one byte more must fit a signed 64-bit word.
 ORDER = 3
-#: Most frequent grams kept for a language, and most frequent languages learned: the bound of the broadcast model.
-MAX_GRAMS = 1 << 17
-MAX_LANGS = 32
+#: Grams of the languages whose trees are broadcast together; the texts are passed once for each such set.
+SET_GRAMS = 1 << 22
 UNDETERMINED = "und"
 _LETTER = r"\p{L}"
 _START = 0x0A  # what stands before a text
@@ -94,13 +93,9 @@ class ContextTrees:
         return out
 
 
-def learn(docs: DataFrame, text_col: str, lang_col: str, order: int, max_grams: int, max_langs: int) -> ContextTrees:
-    """Count all grams of all rows that have a language, and bring the frequent ones of each to the driver.
-
-    What is brought is bounded by max_langs * max_grams numbers whatever the corpus.
-    """
+def gram_counts(docs: DataFrame, text_col: str, lang_col: str, order: int) -> DataFrame:
+    """(lang, gram, n) of all rows that have a language: every language and every gram."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
-    kept = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_langs)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,16 +106,20 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, order: int, max_grams:
                     found, n = np.unique(codes, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(found), pa.string()), pa.array(found), pa.array(n)], ["lang", "gram", "n"])
 
-    counts = rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    frequent = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    model = (
-        counts.join(F.broadcast(kept.select("lang")), "lang")
-        .withColumn("rank", F.row_number().over(frequent))
-        .where(F.col("rank") <= max_grams)
-        .select("lang", "gram", "n")
-        .toPandas()
-    )
-    return ContextTrees({lang: (own["gram"].to_numpy(), own["n"].to_numpy()) for lang, own in model.groupby("lang")}, order)
+    return rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def language_sets(sizes: dict[str, int], most: int) -> list[list[str]]:
+    """All languages in order of name, in sets of at most `most` grams, or of one language."""
+    sets: list[list[str]] = []
+    held = 0
+    for lang in sorted(sizes):
+        if not sets or held + sizes[lang] > most:
+            sets.append([])
+            held = 0
+        sets[-1].append(lang)
+        held += sizes[lang]
+    return sets
 
 
 def identify_language(
@@ -130,8 +129,7 @@ def identify_language(
     text_col: str = "text",
     lang_col: str = "lang",
     order: int = ORDER,
-    max_grams: int = MAX_GRAMS,
-    max_langs: int = MAX_LANGS,
+    set_grams: int = SET_GRAMS,
 ) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row; the trees learn from the rows where `train` holds.
 
@@ -139,28 +137,37 @@ def identify_language(
     Null text or a text without a letter: `und` with score 0, and so every text where nothing could be learned.
     Rows with null language are predicted but not learned from. Ties go to the language first by name. Ids only
     pass through: null or repeated ids and repeated rows give a row each. Empty table: no rows. Other columns
-    are ignored.
+    are ignored. Every language and gram is learned; where the trees of all languages are too many for one set,
+    each set's code lengths are compared with the least and the sum of the sets before.
     """
-    trees = docs.sparkSession.sparkContext.broadcast(learn(docs.where(train), text_col, lang_col, order, max_grams, max_langs))
-
-    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, "text", 2 << 20):
-                text = piece.column(2)
-                spoken = pc.match_substring_regex(text, _LETTER).fill_null(False).to_numpy(zero_copy_only=False)
-                langs = np.array([*trees.value.langs, UNDETERMINED], object)
-                if trees.value.langs:
-                    bits = trees.value.lengths(text)
-                    best = bits.argmin(1)
-                    score = 1 / np.exp2(bits.min(1, keepdims=True) - bits).sum(1)
-                else:
-                    best, score = np.zeros(len(piece), int), np.zeros(len(piece))
-                best = np.where(spoken, best, len(langs) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(langs[best], pa.string()), pa.array(np.where(spoken, score, 0.0))],
-                    ["doc_id", "held_out", "lang_pred", "score"],
-                )
-
+    counts = written(gram_counts(docs.where(train), text_col, lang_col, order))
+    sizes = {r["lang"]: r["grams"] for r in counts.groupBy("lang").agg(F.count("gram").alias("grams")).collect()}
     rows = docs.select(F.col(id_col).alias("doc_id"), (~train).alias("held_out"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(predicted, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    rows = rows.withColumns({"lang_pred": F.lit(UNDETERMINED), "least": F.lit(float("inf")), "total": F.lit(0.0)})
+    names, kind = rows.columns, rows.schema["doc_id"].dataType.simpleString()
+
+    def told(trees) -> DataFrame:
+        def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            langs = np.array(trees.value.langs, object)
+            for batch in batches:
+                for piece in pieces(batch, "text", 2 << 20):
+                    spoken = pc.match_substring_regex(piece.column(2), _LETTER).fill_null(False).to_numpy(zero_copy_only=False)
+                    bits = trees.value.lengths(piece.column(2))
+                    before, total = piece.column(4).to_numpy(), piece.column(5).to_numpy()
+                    least = np.minimum(before, bits.min(1))
+                    total = total * np.exp2(least - before) + np.exp2(least[:, None] - bits).sum(1)
+                    best = np.where(bits.min(1) < before, langs[bits.argmin(1)], np.array(piece.column(3).to_pylist(), object))
+                    columns = [np.where(spoken, best, UNDETERMINED), least, np.where(spoken, total, 0.0)]
+                    yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(columns[0], pa.string()), *map(pa.array, columns[1:])], names)
+
+        return rows.mapInArrow(predicted, f"doc_id {kind}, held_out boolean, text string, lang_pred string, least double, total double")
+
+    sets = language_sets(sizes, set_grams)
+    for i, langs in enumerate(sets):
+        own = counts.where(F.col("lang").isin(langs)).toPandas()
+        trees = ContextTrees({lang: (x["gram"].to_numpy(), x["n"].to_numpy()) for lang, x in own.groupby("lang")}, order)
+        rows = told(docs.sparkSession.sparkContext.broadcast(trees))
+        if i + 1 < len(sets):  # no two sets are held by a task at once
+            rows = written(rows)
+    score = F.when(F.col("total") == 0, 0.0).otherwise(1 / F.col("total"))
+    return rows.select("doc_id", "held_out", "lang_pred", score.alias("score"))

@@ -387,6 +387,15 @@ def test_language_of_held_out_texts(spark):
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
 
+def test_every_language_is_learned_in_sets_of_any_size(spark):
+    """40 languages, each with an alphabet of its own; one set of trees and many give the same."""
+    rows = [(i * 100 + j, " ".join(chr(0x4E00 + 50 * i + (7 * j + k) % 9) * 2 for k in range(12)), f"l{i:02}", "s", 0) for i in range(40) for j in range(3)]
+    truth = {r[0]: r[2] for r in rows}
+    one, many = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify_language(frame(spark, rows), F.col("doc_id") % 100 != 0, set_grams=n).collect()} for n in (1 << 22, 1000))
+    assert {d: x[0] for d, x in one.items()} == truth == {d: x[0] for d, x in many.items()}
+    assert all(one[d][1] == pytest.approx(many[d][1]) for d in one)
+
+
 def test_code_lengths_equal_plain_ppm():
     import pyarrow as pa
 
