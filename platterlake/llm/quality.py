@@ -7,6 +7,7 @@ step goes against it, as in the published method. Labels of other value than pos
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,17 +74,16 @@ def features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def featured(rows: DataFrame, text_col: str = "text") -> Iterator[np.ndarray]:
-    """All rows' features, brought to the driver: only for samples of bounded size."""
+def featured(rows: DataFrame) -> DataFrame:
+    """(kind, h, x binary): the features of rows (kind, h, text)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 x = features(*texts(piece, "text"))
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["kind", "h", "x"])
 
-    got = rows.select(F.col(text_col).alias("text")).mapInArrow(made, "x binary").toPandas()["x"]
-    return np.frombuffer(b"".join(got), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+    return rows.select("kind", "h", "text").mapInArrow(made, "kind int, h long, x binary")
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: int = 200) -> float:
@@ -111,7 +111,10 @@ class LinearModel:
     def inputs(self, x: np.ndarray) -> np.ndarray:
         """The features brought to scale, and for each stepped one which of its cuts it is above."""
         above = x[:, _STEPPED, None] > self.cuts[None]
-        return np.hstack([np.clip((x - self.mean) / self.scale, -4, 4), above.reshape(len(x), -1)])
+        out = np.empty((len(x), N_FEATURES + self.cuts.size))
+        out[:, :N_FEATURES] = np.clip((x - self.mean) / self.scale, -4, 4)
+        out[:, N_FEATURES:] = above.reshape(len(x), -1)
+        return out
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.inputs(x) @ self.weight + self.bias
@@ -138,14 +141,16 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600, rate: fl
 def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
     theta = np.zeros(p.shape[1] + 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    p1, u1 = (np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
+
+    def slope(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return np.append(x.T @ by, by.sum()) / len(x)
+
     for step in range(1, steps + 1):
-        zp, zu = p1 @ theta, u1 @ theta
+        zp, zu = (x @ theta[:-1] + theta[-1] for x in (p, u))
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_negative = u1.T @ su / len(u1) - prior * (p1.T @ sp) / len(p1)
-        g_positive = -prior * (p1.T @ (1 - sp)) / len(p1)
-        g = g_positive + g_negative if negative >= 0 else -g_negative
+        g_negative = slope(u, su) - prior * slope(p, sp)
+        g = g_negative - prior * slope(p, 1 - sp) if negative >= 0 else -g_negative
         g[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -155,17 +160,34 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, rate: float
 def train(docs: DataFrame, labels: DataFrame, use: Column, max_rows: int = MAX_FIT_ROWS) -> LinearModel:
     """Fit on at most `max_rows` trusted positives (quality 1) and as many unlabelled documents.
 
-    Rows where `use` (of doc_id) doesn't hold are taken neither as positives nor as unlabelled text. Both samples are
-    the rows whose seeded hash of the id is least; only their ids are broadcast.
+    Rows where `use` (of doc_id) doesn't hold are taken neither as positives nor as unlabelled text, nor are rows of
+    null id or null labels as positives. Both samples are the rows whose seeded hashes of id and text are least, so
+    repeated rows and ids change neither the bound nor which rows are taken; only ids, `max_rows` at most, are
+    broadcast. Features are made where the texts are read; one task fits the bounded sample, and its weights alone
+    come to the driver. Without positives or unlabelled rows all scores are 1/2.
+
+    The prior is read from the samples: with 8,000 rows of each kind the standard error of a share is 0.006 at most.
     """
     docs = docs.select("doc_id", "text").where(use & F.col("doc_id").isNotNull())
 
-    def sample(ids: DataFrame, seed: int) -> DataFrame:
-        chosen = ids.distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows)
-        return docs.join(F.broadcast(chosen), "doc_id").limit(2 * max_rows)
+    def least(rows: DataFrame, kind: int) -> DataFrame:
+        own = rows.select(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), "doc_id", "text").alias("h"), "text")
+        return featured(own).orderBy("h", "x").limit(max_rows)
+
+    by_id = F.xxhash64(F.lit(1), "doc_id")
+    trusted = labels.where((F.col("quality") == 1) & use).select("doc_id").where("doc_id is not null").distinct()
+    trusted = docs.join(F.broadcast(trusted.orderBy(by_id, "doc_id").limit(max_rows)), "doc_id")
+    cut = docs.select(by_id.alias("h")).orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    some = docs.where(by_id <= F.lit(cut).cast("long"))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((kind, h, bytes(x)) for b in batches for kind, h, x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        of_kind = [np.frombuffer(b"".join(x for k, _, x in rows if k == kind), np.float32).reshape(-1, N_FEATURES).astype(np.float64) for kind in (1, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(*of_kind))], pa.binary())], ["model"])
 
-    trusted = labels.where((F.col("quality") == 1) & use).select("doc_id").where("doc_id is not null")
-    return fit(featured(sample(trusted, 1)), featured(sample(docs.select("doc_id"), 2)))
+    both = least(trusted, 1).unionByName(least(some, 2)).coalesce(1)
+    found = both.mapInArrow(fitted, "model binary").first()
+    return pickle.loads(bytes(found[0])) if found else fit(*[np.zeros((0, N_FEATURES))] * 2)
 
 
 def score_quality(docs: DataFrame, model: LinearModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
