@@ -12,7 +12,9 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): each node that has a link to another, and the least node it can reach.
 
     Each round halves the depth of the trees at least, so a few rounds do; a round is two group-bys that keep
-    only the least neighbour of a node, and two joins. Lineage is cut after each round.
+    only the least neighbour of a node, and two joins; the table of links that a round has read is deleted after it.
+    The centre of a star is one key of the joins: they are plain sort-merge joins, whose skewed partitions adaptive
+    execution splits; the group-bys sum in each task first.
     """
     one = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges, before = written(one), None
@@ -26,4 +28,4 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.union(least.select("u", "m")).distinct())
+        edges = written(small.union(least.select("u", "m")).distinct(), edges)

@@ -56,13 +56,13 @@ def _window_text(start: Column, length: Column) -> Column:
     return F.array_join(F.slice("_words", start + 1, length), " ")
 
 
-def _benchmark(items: DataFrame, lengths: list[int], gram: int) -> tuple[DataFrame, DataFrame]:
+def _benchmark(items: DataFrame, lengths: list[int], gram: int, most: int) -> tuple[DataFrame, DataFrame]:
     """(name, length) of the benchmark's windows and (win, items), a window's words and the items that hold it."""
     own_names = F.get("_names", F.array_position(F.array(*[F.lit(x) for x in lengths]), F.col("length")).cast("int") - 1)
     own = _named(items, lengths, gram).select("item_id", "_words", "length", F.posexplode_outer(own_names).alias("start", "name"))
     own = written(own.select("item_id", "length", "name", _window_text(F.col("start"), F.col("length")).alias("win")))
     names, wins = own.select("name", "length").distinct(), own.groupBy("win").agg(F.collect_set("item_id").alias("items"))
-    if own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+    if own.limit(most + 1).count() <= most:
         return F.broadcast(names), F.broadcast(wins)
     return names, wins
 
@@ -88,8 +88,9 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
-    """(doc_id, n_words, spans array<struct<start, stop>> of hit words, items array<string>) for each document row.
+    """(doc_id, text_hash, n_words, spans array<struct<start, stop>> of hit words, items array<string>) for each document row.
 
     A benchmark item of fewer than `window` words is one window of its own length. Null and empty texts have
     no words and hit nothing; items without words occur nowhere; a null item id reads as `null`. Null document
@@ -105,8 +106,8 @@ def decontaminate(
     worded = rows.select(*keys, words_of(F.col("_raw")).alias("_words"))
     n_words = F.size("_words").cast("long").alias("n_words")
     if not lengths:
-        return worded.select("doc_id", n_words, no_spans.alias("spans"), no_items.alias("items"))
-    names, wins = _benchmark(items, lengths, gram)
+        return worded.select("doc_id", F.col("_text").alias("text_hash"), n_words, no_spans.alias("spans"), no_items.alias("items"))
+    names, wins = _benchmark(items, lengths, gram, broadcast_windows)
 
     # One pass over all texts: each row's first entry stands for the row, the others are its names. posexplode_outer,
     # as posexplode would have Spark test the entries' size first, and build them twice for it.
@@ -128,7 +129,7 @@ def decontaminate(
     found = hits.groupBy(*keys).agg(F.collect_set(span).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "spans", "items")
     return met.where("_at = 0").join(found, same, "left").select(
-        "doc_id", "n_words", F.coalesce(_merged(F.col("spans")), no_spans).alias("spans"), F.coalesce("items", no_items).alias("items")
+        "doc_id", F.col("_text").alias("text_hash"), "n_words", F.coalesce(_merged(F.col("spans")), no_spans).alias("spans"), F.coalesce("items", no_items).alias("items")
     )
 
 

@@ -94,20 +94,21 @@ def near_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, n_links, component_id, kept) for each row.
+    """(doc_id, text_hash, n_links, component_id, kept) for each row; text_hash is the text's xxhash64.
 
     Two rows are linked where the Jaccard similarity of their shingle sets reaches the threshold; n_links counts
-    the other rows linked, copies included. component_id is the least doc_id that can be reached by links, and
-    kept says whether it is the row's own. Texts of equal shingles are one set inside and cost no more than
-    one. Null and empty texts and texts without words link with nothing and are kept. Fewer words than a shingle
-    has: all of them are one shingle. Rows of null id get null results and kept. A repeated row is linked with
-    its twin and decided alike. Empty table: no rows. Other columns are ignored.
+    the other rows linked, copies included. component_id is the least doc_id that can be reached by links (null
+    where all are null). One row of a component is kept: that of least id (null ids last), then of least text_hash.
+    Texts of equal shingles are one set inside and cost no more than one. Null and empty texts and texts without
+    words link with nothing and are kept, each by itself. Fewer words than a shingle has: all of them are one
+    shingle. Rows that share an id are rows like any others; a repeated row (same id, same text) is linked with its
+    twin and decided alike. Empty table: no rows. Other columns are ignored.
     """
     prefix = prefix_depth(threshold, trees, depth, recall)
     rng = np.random.default_rng(seed)
     odd, flip = (rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(k) for k in (1, 0))
     least_estimate = threshold - DOUBT * np.sqrt(threshold * (1 - threshold) / (trees * depth))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,11 +119,11 @@ def near_documents(
                     found = shingles(raw[low:high].tobytes(), shingle)
                     names.append(set_name(found) if len(found) else None)
                     signatures.append(signature(found, odd, flip).tobytes() if len(found) else None)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(names, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "cls", "sig"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(names, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "th", "cls", "sig"])
 
-    each = written(rows.mapInArrow(signed, "doc_id long, cls long, sig binary"))
-    classes = each.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("cls").alias("n"), F.first("sig").alias("sig"))
-    classes = written(classes)
+    each = written(rows.mapInArrow(signed, "doc_id long, th long, cls long, sig binary"))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    classes = written(each.where("cls is not null").groupBy("cls").agg(F.min(row).alias("head"), F.count("cls").alias("n"), F.first("sig").alias("sig")))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,19 +155,39 @@ def near_documents(
         for group in whole_groups(batches, keys, 4_000):
             yield from _links(group, keys, trees, depth, prefix, least_estimate, threshold, shingle)
 
-    with_text = near.join(classes.select("cls", "first_id"), "cls").join(rows.withColumnRenamed("doc_id", "first_id"), "first_id")
+    shown = near.join(classes.select("cls", "head.doc_id", "head.th"), "cls")
+    with_text = shown.join(rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "text"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     with_text = with_text.select(*keys, "part", "cls", "n", "sig", "text").repartition(*keys).sortWithinPartitions(*keys)
-    found = written(with_text.mapInArrow(verified, "cls long, links long, root long"))
+    found = written(with_text.mapInArrow(verified, "cls long, links long, root long"), near)
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     components = connected_components(found, "cls", "root").withColumnRenamed("node", "cls")
-    placed_in = classes.join(components, "cls", "left").select("cls", "first_id", "n", F.coalesce("component", "cls").alias("component"))
-    heads = placed_in.groupBy("component").agg(F.min("first_id").alias("head"))
-    known = placed_in.join(heads, "component").join(links, "cls", "left").select("cls", "head", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("found_links"))
-    usable = F.when(F.col("doc_id").isNotNull(), F.col("cls"))
-    out = each.select("doc_id", usable.alias("cls")).join(known, "cls", "left").select(
-        "doc_id", F.coalesce("found_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("head", "doc_id").alias("component_id")
+    placed_in = classes.join(components, "cls", "left").select("cls", "head", "n", F.coalesce("component", "cls").alias("component"))
+    heads = placed_in.groupBy("component").agg(F.min("head").alias("first"))
+    known = placed_in.join(heads, "component").join(links, "cls", "left").select("cls", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("found_links"))
+    own = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("th") == F.col("first.th"))
+    return each.drop("sig").join(known, "cls", "left").select(
+        "doc_id",
+        F.col("th").alias("text_hash"),
+        F.coalesce("found_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        (F.col("first").isNull() | own).alias("kept"),
+        F.col("cls").isNotNull().alias("has_words"),
     )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all their columns, without those that `near_documents` doesn't keep; of a repeated row (same id, same text) one.
+
+    Rows without words all stay. Null ids are ids like any others. Empty table: no rows.
+    """
+    found = near_documents(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash"), "kept", "has_words")
+    found = written(found)
+    gone = found.where("not kept").select("_near_id", "_near_hash").distinct()
+    again = found.where("kept and has_words").groupBy("_near_id", "_near_hash").agg(F.count("kept").alias("n")).where("n > 1").drop("n")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64(text_col) == F.col("_near_hash"))
+    left = docs.join(gone, same, "left_anti")
+    repeated = left.join(again, same).dropDuplicates(["_near_id", "_near_hash"]).select(*docs.columns)
+    return left.join(again, same, "left_anti").unionByName(repeated)
 
 
 def _values(packed: pa.Array, trees: int, depth: int) -> np.ndarray:

@@ -50,7 +50,7 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.near_documents(table(spark, sf_dir, "documents"))
+    return forest.near_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "component_id", "kept")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

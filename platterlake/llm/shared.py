@@ -20,21 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: `spark.checkpoint.dir`. Where that is unset, a temporary one on a local master (tests), else an error."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
-        context = spark.sparkContext
-        set_dir = context.getCheckpointDir() or tempfile.mkdtemp(prefix="platterlake-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        set_dir = tempfile.mkdtemp(prefix="platterlake-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows to a table of their own in the shared folder and read them again."""
+def written(df: DataFrame, *over: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows to a table of their own in the shared folder and read them again.
+
+    `over`: tables written before that nothing but these rows was read for; they are deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in over:
+        forget(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(old: DataFrame) -> None:
+    """Delete the table of a frame that `written` returned; its rows can't be read any more."""
+    context = old.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(old._written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
