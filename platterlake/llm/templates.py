@@ -1,149 +1,139 @@
 """Line dedup by a log-template tree.
 
-A line falls down a tree of fixed depth: by its number of tokens, then by its leading tokens (four, or a quarter
-where that is more), where a token with a digit counts as variable (`<*>`); a line of such tokens alone has nothing that shows a template
-and is taken literally. Lines of
-a leaf are linked where the share of equal tokens at equal places is at least `similarity`; a template is a set of
-lines that links join. A template whose lines stand in more than one document stays in the first of them, by id, and
-its lines are dropped from all others.
-
-Equal lines are one before they reach a leaf. Which lines are linked depends on nothing but the two lines, so a leaf
-can be dealt in parts by hash: each two parts of at most about `BLOCK` lines meet in a group of their own, and what is
-linked there is joined over all groups.
+A line falls down a tree of fixed depth: by its number of tokens, by its leading tokens (four, or a quarter where that
+is more), then by its other tokens, cut into `RUNS` runs of even length. A token with a digit counts as variable
+(`<*>`) everywhere; a line of such tokens alone has nothing that shows a template and is taken literally. Variable
+fields without digits are found by generalising runs: a line goes down one path for each choice of `free` runs that
+are left open, and two lines with a path in common are of one template, as are lines that a chain of such pairs joins.
+So lines of a template have equal leading tokens and pairwise steps that differ in at most `free` runs. Lines of fewer
+than `SHORT` tokens are templates of their own: nothing of them is generalised but tokens with digits.
+
+A template whose lines stand in more than one document stays in the first of them, and its lines are dropped from all
+others. Every line has at most 15 paths, and lines of a path are joined to the least of them by one group-by, so the
+work grows with the number of distinct lines, whatever number of lines share a leaf or a path.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platterlake.llm.components import connected_components
-from platterlake.llm.shared import column, group_starts, local_roots, pieces, texts, whole_groups, written
+from platterlake.llm.shared import pieces, texts, written
 
-#: Lines of fewer tokens are left alone: none but blank ones.
-MIN_TOKENS, LEADING, SIMILARITY = 1, 4, 0.7
-BLOCK = 512
+LEADING, RUNS, FREE, SHORT = 4, 6, 2, 8
 VARIABLE = b"<*>"
 _DIGIT = re.compile(rb"[0-9]")
-_LAST_ID = (1 << 63) - 1
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _hash(x: bytes) -> int:
+    h = xxhash.xxh3_64_intdigest(x)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def parse_line(line: bytes, min_tokens: int = MIN_TOKENS, leading: int = LEADING) -> tuple[int, int, list[bytes]] | None:
-    """Leaf, line hash and tokens of a line; None where it is too short."""
+def masked(line: bytes) -> list[bytes]:
+    """The line's tokens, those with a digit generalised unless all have one."""
     words = line.split()
-    if len(words) < min_tokens:
-        return None
     if _DIGIT.search(line):
-        masked = [VARIABLE if _DIGIT.search(w) else w for w in words]
-        words = masked if any(w is not VARIABLE for w in masked) else words
-    leaf = xxhash.xxh3_64_intdigest(b"%d " % len(words) + b" ".join(words[: max(leading, len(words) // 4)]))
-    return _signed(leaf), _signed(xxhash.xxh3_64_intdigest(b" ".join(words))), words
-
-
-def token_codes(words: list[bytes]) -> np.ndarray:
-    """16 bits of each token's hash; 0 stands for a variable one."""
-    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype(np.uint16) | np.uint16(1)
-    if VARIABLE in words:
-        codes[[w == VARIABLE for w in words]] = 0
-    return codes
-
-
-def linked(codes: np.ndarray, similarity: float) -> np.ndarray:
-    """For each row of codes, the first row it is joined to by links."""
-    a, b = [], []
-    for i in range(len(codes) - 1):
-        other = np.flatnonzero((codes[i + 1 :] == codes[i]).mean(1) >= similarity) + i + 1
-        a.append(np.full(len(other), i))
-        b.append(other)
-    return local_roots(len(codes), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(codes))
-
-
-def line_templates(lines: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(line, template) for distinct lines (leaf, line, codes): the template's name is that of its least line."""
-    grouped = ["leaf", "low", "high"]
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, grouped):
-            starts = group_starts(group, grouped)
-            line, codes = column(group, "line"), group.column("codes").to_pylist()
-            template = line.copy()
-            for low, high in zip(starts, np.append(starts[1:], len(group)), strict=True):
-                if high - low > 1:
-                    template[low:high] = line[low:high][linked(np.stack([np.frombuffer(c, np.uint16) for c in codes[low:high]]), similarity)]
-            large = column(group, "high") > 0
-            told = ~large | (line != template)
-            yield from pa.table([line[told], template[told], large[told]], ["line", "template", "large"]).to_batches()
-
-    sizes = lines.groupBy("leaf").agg(F.count("line").alias("lines")).where("lines > 1")
-    # a part holds half a block, for two of them meet; a leaf of up to a block is one group
-    parts = F.when(F.col("lines") <= block, 1).otherwise(F.ceil(F.col("lines") * 2 / block)).cast("int")
-    shared = lines.join(sizes, "leaf").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("line", F.lit(1)), F.col("parts")).cast("int"))
-    met = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("own")))
-    dealt = shared.withColumn("other", F.explode(met)).select("leaf", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "line", "codes")
-    run = dealt.repartition(*grouped).sortWithinPartitions(*grouped, "line").mapInArrow(joined, "line long, template long, large boolean")
-    once = written(run)
-    whole = connected_components(once.where("large").select("line", "template"), "line", "template")
-    return once.where("not large").select("line", "template").unionByName(whole.select(F.col("node").alias("line"), F.col("component").alias("template")))
+        shown = [VARIABLE if _DIGIT.search(w) else w for w in words]
+        words = shown if any(w is not VARIABLE for w in shown) else words
+    return words
+
+
+def cut_runs(words: list[bytes], leading: int = LEADING) -> tuple[list[bytes], list[list[bytes]]]:
+    """The leading tokens, and the runs of the others; no runs where the line is too short to generalise any."""
+    if len(words) < SHORT:
+        return words, []
+    head = max(leading, len(words) // 4)
+    rest = words[head:]
+    n = min(RUNS, len(rest))
+    return words[:head], [rest[len(rest) * k // n : len(rest) * (k + 1) // n] for k in range(n)]
+
+
+def free_runs(n: int) -> int:
+    """How many of a line's n runs may be open: two, fewer where there are few."""
+    return min(FREE, n // 3)
+
+
+def line_name(words: list[bytes]) -> int:
+    return _hash(b" ".join(words))
+
+
+def _paths(leaf: Column, runs: Column) -> Column:
+    """One hash for each choice of open runs: of the leaf, the choice and all other runs."""
+    found = []
+    for n in range(1, RUNS + 1):
+        choices = list(itertools.combinations(range(n), free_runs(n)))
+        paths = [F.xxhash64(leaf, F.lit(str(c)), *[F.get(runs, F.lit(k)) for k in range(n) if k not in c]) for c in choices if c]
+        found.append(F.when(F.size(runs) == n, F.array(*paths) if paths else F.array().cast("array<long>")))
+    return F.coalesce(*found, F.array().cast("array<long>"))
+
+
+def line_templates(lines: DataFrame) -> DataFrame:
+    """(line, template) of the distinct lines (line, leaf, runs array<long>) that share a path: the template is named by its least line."""
+    path = lines.select("line", F.explode(_paths(F.col("leaf"), F.col("runs"))).alias("path"))
+    shared = path.groupBy("path").agg(F.min("line").alias("least"), F.max("line").alias("most")).where("least < most").drop("most")
+    joined = path.join(shared, "path").where("line > least").select("line", "least").distinct()
+    return connected_components(joined, "line", "least").withColumnsRenamed({"node": "line", "component": "template"})
 
 
 def drop_recurring_lines(
     docs: DataFrame,
-    min_tokens: int = MIN_TOKENS,
     leading: int = LEADING,
-    similarity: float = SIMILARITY,
-    block: int = BLOCK,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """(the columns named in `keep`, doc_id, text without the dropped lines, n_lines, n_parsed, n_dropped) for each row.
 
-    Lines end at line feeds; blank ones are neither parsed nor dropped. Within one document nothing is
-    dropped for recurring. Null text stays null, with no lines; an empty one is one blank line. Null ids come
-    after all others. Rows that share an id are one document. Empty table: no rows. Columns not named are ignored.
+    Lines end at line feeds; blank ones are neither parsed nor dropped, all others are parsed (n_parsed). Within one
+    document nothing is dropped for recurring. A document is an id and a text: the first is that of least id (null
+    last), then of least hash of its text; repeated rows are one document and cut alike. Null text stays null, with
+    no lines; an empty one is one blank line. Empty table: no rows. Columns not named are ignored.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))
-    rows = docs.select(key.alias("_doc"), F.col(text_col).alias("_text"))
+    doc = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    rows = docs.select(doc.alias("_doc"), F.col(text_col).alias("_text"))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "_text"):
-                doc, (raw, at) = piece.column(0).to_numpy(), texts(piece, "_text")
-                own, leaf, name, codes = [], [], [], []
-                for d, low, high in zip(doc, at[:-1], at[1:], strict=True):
+                raw, at = texts(piece, "_text")
+                own, name, leaf, runs = [], [], [], []
+                for d, (low, high) in enumerate(zip(at[:-1], at[1:], strict=True)):
                     seen = set()
                     for line in raw[low:high].tobytes().split(b"\n"):
-                        p = parse_line(line, min_tokens, leading)
-                        if p and p[1] not in seen:
-                            seen.add(p[1])
+                        words = masked(line)
+                        h = line_name(words)
+                        if words and h not in seen:
+                            seen.add(h)
+                            head, others = cut_runs(words, leading)
                             own.append(d)
-                            leaf.append(p[0])
-                            name.append(p[1])
-                            codes.append(token_codes(p[2]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(leaf, pa.int64()), pa.array(name, pa.int64()), pa.array(codes, pa.binary())], ["doc", "leaf", "line", "codes"])
-
-    where = written(rows.mapInArrow(lines, "doc long, leaf long, line long, codes binary"))
-    distinct = where.groupBy("leaf", "line").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    crowded = distinct.groupBy("leaf").agg(F.count("line").alias("lines")).where("lines > 1")
-    coded = written(where.join(crowded.select("leaf"), "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("codes").alias("codes")))
-    templates = line_templates(coded, similarity, block)
-    named = distinct.select("line", "low", "high").join(templates, "line", "left").withColumn("template", F.coalesce("template", "line"))
-    recurring = named.groupBy("template").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where("first_doc < last_doc")
-    dropped = named.join(recurring, "template").where("high > first_doc").select("line", "first_doc")
-    per_doc = where.select("doc", "line").join(dropped, "line").where("doc <> first_doc").groupBy("doc").agg(F.collect_list("line").alias("_drop"))
-
-    kept_columns = docs.select(key.alias("_doc"), F.col(text_col).alias("_text"), *[F.col(c) for c in keep if c not in (id_col, text_col)])
-    joined = kept_columns.join(per_doc, kept_columns["_doc"] == per_doc["doc"], "left").drop("doc")
+                            name.append(h)
+                            leaf.append(_hash(b"%d " % len(words) + b" ".join(head)) if others else None)
+                            runs.append([_hash(b" ".join(run)) for run in others])
+                doc = piece.column(0).take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(name, pa.int64()), pa.array(leaf, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], ["doc", "line", "leaf", "runs"])
+
+    kind = rows.schema["_doc"].dataType.simpleString()
+    where = written(rows.mapInArrow(lines, f"doc {kind}, line long, leaf long, runs array<long>"))
+    distinct = where.groupBy("line").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("leaf").alias("leaf"))
+    crowded = distinct.where("leaf is not null").groupBy("leaf").agg(F.count("line").alias("lines")).where("lines > 1").select("leaf")
+    told = written(where.select("line", "leaf", "runs").join(crowded, "leaf", "left_semi").dropDuplicates(["line"]))
+    templates = written(line_templates(told), told)
+    named = distinct.join(templates, "line", "left").select("line", "low", "high", F.coalesce("template", "line").alias("template"))
+    recurring = named.groupBy("template").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").drop("last")
+    dropped = named.join(recurring, "template").where("high > first").select("line", "first")
+    per_doc = where.select("doc", "line").join(dropped, "line").where("doc <> first").groupBy(F.col("doc").alias("_from")).agg(F.collect_list("line").alias("_drop"))
+
+    same = F.col("_doc.id").eqNullSafe(F.col("_from.id")) & (F.col("_doc.hash") == F.col("_from.hash"))
+    kept_columns = docs.select(doc.alias("_doc"), F.col(text_col).alias("_text"), *[F.col(c) for c in keep if c not in (id_col, text_col)])
+    joined = kept_columns.join(per_doc, same, "left").drop("_from")
     extra = joined.columns[2:-1]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +148,9 @@ def drop_recurring_lines(
                     lines = text.split("\n")
                     gone, left, n_parsed = set(drop or ()), [], 0
                     for line in lines:
-                        parsed = len(line.encode().split()) >= min_tokens
+                        parsed = bool(line.encode().split())
                         n_parsed += parsed
-                        if not (parsed and gone and parse_line(line.encode(), min_tokens, leading)[1] in gone):
+                        if not (parsed and gone and line_name(masked(line.encode())) in gone):
                             left.append(line)
                     out.append("\n".join(left))
                     counts.append((len(lines), n_parsed, len(lines) - len(left)))
@@ -168,34 +158,5 @@ def drop_recurring_lines(
                 yield pa.RecordBatch.from_arrays(columns + [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)], ["_doc", "_text", *extra, "n_lines", "n_parsed", "n_dropped"])
 
     kinds = "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in extra)
-    done = joined.mapInArrow(cut, f"_doc long, _text string{kinds}, n_lines long, n_parsed long, n_dropped long")
-    doc_id = F.when(F.col("_doc") != _LAST_ID, F.col("_doc")).cast(docs.schema[id_col].dataType)
-    return done.select(*extra, doc_id.alias("doc_id"), F.col("_text").alias("text"), "n_lines", "n_parsed", "n_dropped")
-
-
-def brute_force(docs: list[tuple[int, str]], similarity: float = SIMILARITY) -> dict[int, str]:
-    """The texts that are left, by dictionaries over all lines in one process (for tests)."""
-    leaves: dict[int, dict[int, np.ndarray]] = {}
-    where: dict[int, set[int]] = {}
-    for doc, text in docs:
-        for line in (text or "").encode().split(b"\n"):
-            if p := parse_line(line):
-                leaves.setdefault(p[0], {})[p[1]] = token_codes(p[2])
-                where.setdefault(p[1], set()).add(doc)
-    first: dict[int, int] = {}
-    for lines in leaves.values():
-        names, codes = list(lines), np.stack(list(lines.values()))
-        left = set(range(len(names)))
-        while left:
-            own = todo = {left.pop()}
-            while todo:
-                near = {int(j) for i in todo for j in np.flatnonzero((codes == codes[i]).mean(1) >= similarity)}
-                todo = near & left
-                left -= todo
-                own = own | todo
-            first |= dict.fromkeys((names[i] for i in own), min(min(where[names[i]]) for i in own))
-    out = {}
-    for doc, text in docs:
-        parsed = [(line, parse_line(line.encode())) for line in (text or "").split("\n")]
-        out[doc] = "\n".join(line for line, p in parsed if not p or first[p[1]] == doc)
-    return out
+    done = joined.mapInArrow(cut, f"_doc {kind}, _text string{kinds}, n_lines long, n_parsed long, n_dropped long")
+    return done.select(*extra, F.col("_doc.id").cast(docs.schema[id_col].dataType).alias("doc_id"), F.col("_text").alias("text"), "n_lines", "n_parsed", "n_dropped")

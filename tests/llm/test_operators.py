@@ -192,11 +192,49 @@ def line_corpus():
     return [*rows, (200, rows[0][1]), (201, ""), (202, "\n\n"), (203, "é " * 30), (204, words(rng, 8000))]
 
 
+def brute_lines(rows):
+    """The texts that are left, by comparing every two lines (written from the rules, not with the operator's functions)."""
+
+    def tokens(line):
+        w = line.encode().split()
+        m = [b"<*>" if any(48 <= c <= 57 for c in x) else x for x in w]
+        return tuple(w if set(m) <= {b"<*>"} else m)
+
+    def near(a, b):
+        if len(a) != len(b) or len(a) < 8:
+            return a == b
+        head = max(4, len(a) // 4)
+        n = min(6, len(a) - head)
+        edges = [head + (len(a) - head) * k // n for k in range(n + 1)]
+        return a[:head] == b[:head] and sum(a[x:y] != b[x:y] for x, y in zip(edges, edges[1:])) <= min(2, n // 3)
+
+    key = {(i, t): (i is None, i or 0) for i, t in rows}
+    where, by_start = {}, {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if tokens(line):
+                where.setdefault(tokens(line), set()).add((i, t))
+    for x in where:
+        by_start.setdefault((len(x), x[:4]), []).append(x)
+    first = {}
+    for group in by_start.values():
+        left = set(group)
+        while left:
+            own = todo = {left.pop()}
+            while todo:
+                todo = {b for b in left if any(near(a, b) for a in todo)}
+                left -= todo
+                own = own | todo
+            holders = set().union(*(where[x] for x in own))
+            first |= dict.fromkeys(own, min(holders, key=key.get))
+    return {i: "\n".join(line for line in (t or "").split("\n") if not tokens(line) or first[tokens(line)] == (i, t)) for i, t in rows}
+
+
 def test_line_dedup_equals_brute_force(spark):
     rows = line_corpus()
     full = [(i, t, "en", "s", len(t)) for i, t in rows]
     got = templates.drop_recurring_lines(frame(spark, full).repartition(4), keep=("lang", "n_chars")).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == templates.brute_force(rows)
+    assert {r["doc_id"]: r["text"] for r in got} == brute_lines(rows)
     first = {r["doc_id"]: r for r in got}
     assert "last changed" in first[0]["text"] and "last changed" not in first[7]["text"]
     assert "lazy dog" in first[100]["text"] and "lazy dog" not in first[102]["text"]
@@ -204,13 +242,6 @@ def test_line_dedup_equals_brute_force(spark):
     assert first[3]["lang"] == "en"
 
 
-def test_line_dedup_in_parts_still_finds_templates(spark):
-    line = "one two three four five six seven eight nine ten eleven twelve thirteen {}"
-    rows = [(i, line.format("x" + chr(97 + i % 26) * (i + 1))) for i in range(60)]
-    got = templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()
-    assert [r["doc_id"] for r in got if r["text"]] == [0]
-
-
 def test_line_dedup_edges(spark):
     line = "a line of well over eight tokens that several rows here all have"
     rows = [(None, line), (5, line), (5, line), (7, None)]
@@ -219,14 +250,23 @@ def test_line_dedup_edges(spark):
     assert templates.drop_recurring_lines(empty(spark)).collect() == []
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """Two texts of one id are two documents: one keeps the line they share, and so for null ids."""
+    line = "a line of well over eight tokens that several rows here all have"
+    rows = [(3, line + "\nu"), (3, line + "\nv"), (None, line + "\nw"), (None, line + "\nx")]
+    got = templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["text"].startswith(line) for r in got) == 1
+    assert [r["doc_id"] for r in got if r["text"].startswith(line)] == [3]
+    assert sorted(r["text"][-1] for r in got) == ["u", "v", "w", "x"]
+
+
 def test_line_dedup_of_a_large_leaf_equals_brute_force(spark):
-    """3,000 different lines in one leaf, some 0.3 links each, and the same whatever the size of a part."""
+    """3,000 different lines in one leaf, some 0.3 links each; each line has 15 paths, whatever the size of the leaf."""
     rng = random.Random(11)
-    rows = [(i, "these four come first " + " ".join(f"{c}{chr(97 + rng.randrange(26))}{'xy'[rng.randrange(2)]}" for c in "abcdef")) for i in range(3000)]
-    df, truth = spark.createDataFrame(rows, "doc_id long, text string"), templates.brute_force(rows)
+    rows = [(i, "these four come first " + " ".join(f"{c}{chr(97 + rng.randrange(20))}" for c in "abcdef")) for i in range(3000)]
+    truth = brute_lines(rows)
     assert 100 < sum(not t for t in truth.values()) < 2900
-    for block in (templates.BLOCK, 4096):
-        assert {r["doc_id"]: r["text"] for r in templates.drop_recurring_lines(df, block=block).collect()} == truth
+    assert {r["doc_id"]: r["text"] for r in templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == truth
 
 
 def test_line_dedup_sees_short_lines(spark):
@@ -234,7 +274,7 @@ def test_line_dedup_sees_short_lines(spark):
     short = ["Licensed under the Apache License, Version 2.0.", "one", "two words", "line 7 of 9", "1984", "5 6"]
     rows = [(1, "\n".join(short)), (2, "\n".join([*short[:3], "line 8 of 9", "1985", "5 6", "", "own"])), (3, "two words\nand more")]
     got = {r["doc_id"]: r["text"] for r in templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: rows[0][1], 2: "1985\n\nown", 3: "and more"} == templates.brute_force(rows)
+    assert got == {1: rows[0][1], 2: "1985\n\nown", 3: "and more"} == brute_lines(rows)
 
 
 def test_pipeline_keeps_documents_with_own_lines_left(spark):
@@ -288,8 +328,8 @@ def test_near_documents_equal_brute_force(spark):
 def test_near_documents_edges(spark):
     text = "one two three four five six seven"
     rows = [(None, text, "en", "s", 1), (4, text, "en", "s", 1), (4, text, "en", "s", 1), (6, text + " eight", "en", "s", 1)]
-    got = sorted((tuple(r) for r in forest.near_documents(frame(spark, rows)).collect()), key=str)
-    assert got == sorted([(None, 0, None, True), (4, 1, 4, True), (4, 1, 4, True), (6, 0, 6, True)], key=str)
+    got = sorted((tuple(r) for r in forest.near_documents(frame(spark, rows)).select("doc_id", "n_links", "component_id", "kept").collect()), key=str)
+    assert got == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (6, 0, 6, True)], key=str)
     assert forest.near_documents(empty(spark)).collect() == []
 
 
