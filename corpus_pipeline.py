@@ -18,7 +18,11 @@ def _columns(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; all their columns."""
+    """Documents that the quality classifier accepts; all their columns.
+
+    Null and empty texts are scored like others; null, shared and repeated ids go by the row's own text. Without labels
+    every score is 1/2, and all stay. Empty table: no rows.
+    """
     use = fold(F.col("doc_id")) != 0
     model = quality.train(docs, table(spark, sf_dir, "labels"), use)
     scored = quality.score_quality(docs, model, keep=tuple(docs.columns))
@@ -26,26 +30,41 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that recur; one goes whole only where lines were cut and no line that isn't blank is left."""
+    """Documents without the lines that recur; one goes whole only where lines were cut and no line that isn't blank is left.
+
+    Null and empty texts stay as they are. Null and shared ids: a document is an id and a text; repeated rows are cut
+    alike. Empty table: no rows.
+    """
     left = templates.drop_recurring_lines(docs, keep=tuple(docs.columns))
     left = left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     return _columns(docs, left.withColumn("n_chars", F.length("text").cast("long")))
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least id."""
-    gone = forest.near_documents(docs).where("not kept").select("doc_id").distinct()
-    return _columns(docs, docs.join(gone, "doc_id", "left_anti"))
+    """One document of each group of near copies: the one of least id, then of least text hash; of equal rows one.
+
+    Null ids come last and are joined like others. Texts without words all stay. Empty table: no rows.
+    """
+    return _columns(docs, forest.one_of_each(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with the benchmark."""
+    """Documents that share no window of words with the benchmark.
+
+    A row goes for its own text: null ids go like others, and a clean row stays whatever rows share its id. Null and
+    empty texts are clean. Repeated rows are decided alike. Empty tables: no rows, or all rows where the benchmark is.
+    """
     hit = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0)
-    return _columns(docs, docs.join(hit.select("doc_id").distinct(), "doc_id", "left_anti"))
+    hit = hit.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_hash"))
+    return _columns(docs, docs.join(hit, same, "left_anti"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document."""
+    """How often the mix takes each document.
+
+    Null or empty text: size 0. Null source: a source of its own. Repeated rows: a result each. Empty table: no rows.
+    """
     return mixing.mix_sources(docs)
 
 
