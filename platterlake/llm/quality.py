@@ -197,13 +197,14 @@ def score_quality(docs: DataFrame, model: LinearModel, text_col: str = "text", k
     nulls in other columns pass through; an empty table gives no rows. Columns not named are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = docs.select(F.struct(*[c for c in keep if c != text_col], F.lit(True).alias("_")).alias("kept"), F.col(text_col).alias("text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "_text"):
-                found = pa.array(shared.value.score(features(*texts(piece, "_text")).astype(np.float64)))
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], found], [*keep, "score"])
+            for piece in pieces(batch, "text"):
+                found = pa.array(shared.value.score(features(*texts(piece, "text")).astype(np.float64)))
+                shown = piece.column(1) if text_col in keep else pa.nulls(len(piece), pa.string())
+                yield pa.RecordBatch.from_arrays([piece.column(0), shown, found], ["kept", "text", "score"])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(scored, f"{kinds}, score double")
+    done = rows.mapInArrow(scored, f"kept {rows.schema['kept'].dataType.simpleString()}, text string, score double")
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("kept").getField(c).alias(c) for c in keep], "score")

@@ -132,15 +132,14 @@ def drop_recurring_lines(
     per_doc = where.select("doc", "line").join(dropped, "line").where("doc <> first").groupBy(F.col("doc").alias("_from")).agg(F.collect_list("line").alias("_drop"))
 
     same = F.col("_doc.id").eqNullSafe(F.col("_from.id")) & (F.col("_doc.hash") == F.col("_from.hash"))
-    kept_columns = docs.select(doc.alias("_doc"), F.col(text_col).alias("_text"), *[F.col(c) for c in keep if c not in (id_col, text_col)])
-    joined = kept_columns.join(per_doc, same, "left").drop("_from")
-    extra = joined.columns[2:-1]
+    kept = F.struct(*[c for c in keep if c not in (id_col, text_col)], F.lit(True).alias("_")).alias("_kept")
+    joined = docs.select(doc.alias("_doc"), F.col(text_col).alias("_text"), kept).join(per_doc, same, "left").drop("_from")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "_text"):
                 out, counts = [], []
-                for text, drop in zip(piece.column(1).to_pylist(), piece.column(len(extra) + 2).to_pylist(), strict=True):
+                for text, drop in zip(piece.column(1).to_pylist(), piece.column(3).to_pylist(), strict=True):
                     if text is None:
                         out.append(None)
                         counts.append((0, 0, 0))
@@ -154,9 +153,10 @@ def drop_recurring_lines(
                             left.append(line)
                     out.append("\n".join(left))
                     counts.append((len(lines), n_parsed, len(lines) - len(left)))
-                columns = [piece.column(0), pa.array(out, pa.string()), *piece.columns[2 : 2 + len(extra)]]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)], ["_doc", "_text", *extra, "n_lines", "n_parsed", "n_dropped"])
+                columns = [piece.column(0), pa.array(out, pa.string()), piece.column(2), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))]
+                yield pa.RecordBatch.from_arrays(columns, ["_doc", "_text", "_kept", "n_lines", "n_parsed", "n_dropped"])
 
-    kinds = "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in extra)
-    done = joined.mapInArrow(cut, f"_doc {kind}, _text string{kinds}, n_lines long, n_parsed long, n_dropped long")
-    return done.select(*extra, F.col("_doc.id").cast(docs.schema[id_col].dataType).alias("doc_id"), F.col("_text").alias("text"), "n_lines", "n_parsed", "n_dropped")
+    done = joined.mapInArrow(cut, f"_doc {kind}, _text string, _kept {joined.schema['_kept'].dataType.simpleString()}, n_lines long, n_parsed long, n_dropped long")
+    own = {id_col: F.col("_doc.id").cast(docs.schema[id_col].dataType), text_col: F.col("_text")}
+    passed = [F.col("_kept").getField(c).alias(c) for c in keep if c not in (id_col, text_col)]
+    return done.select(*passed, own[id_col].alias("doc_id"), own[text_col].alias("text"), "n_lines", "n_parsed", "n_dropped")
