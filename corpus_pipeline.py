@@ -6,7 +6,7 @@ next stage's `docs`. All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platterlake.llm import decontam, forest, mixing, quality, templates
@@ -17,6 +17,15 @@ def _columns(docs: DataFrame, decided: DataFrame) -> DataFrame:
     return decided.select(*docs.columns)
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The id, the text and all other columns as one, whose names then clash with nothing."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _unpacked(docs: DataFrame, decided: DataFrame, **changed: Column) -> DataFrame:
+    return decided.select(*[changed[c].alias(c) if c in changed else F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; all their columns.
 
@@ -25,8 +34,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     use = fold(F.col("doc_id")) != 0
     model = quality.train(docs, table(spark, sf_dir, "labels"), use)
-    scored = quality.score_quality(docs, model, keep=tuple(docs.columns))
-    return _columns(docs, scored.where(F.col("score") >= quality.THRESHOLD))
+    scored = quality.score_quality(_packed(docs), model, keep=("row", "text"))
+    return _unpacked(docs, scored.where(F.col("score") >= quality.THRESHOLD))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +44,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are. Null and shared ids: a document is an id and a text; repeated rows are cut
     alike. Empty table: no rows.
     """
-    left = templates.drop_recurring_lines(docs, keep=tuple(docs.columns))
+    left = templates.drop_recurring_lines(_packed(docs), keep=("row",))
     left = left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
-    return _columns(docs, left.withColumn("n_chars", F.length("text").cast("long")))
+    return _unpacked(docs, left, n_chars=F.length("text").cast("long"))
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
