@@ -30,14 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
-def written(df: DataFrame, *over: DataFrame) -> DataFrame:
+def written(df: DataFrame, *over: DataFrame, by: str | None = None) -> DataFrame:
     """Cut the lineage: write the rows to a table of their own in the shared folder and read them again.
 
-    `over`: tables written before that nothing but these rows was read for; they are deleted.
+    `over`: tables written before that nothing but these rows was read for; they are deleted. `by`: a column of few
+    values, each of which gets files of its own.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     for old in over:
         forget(old)
     out = spark.read.schema(df.schema).parquet(path)
