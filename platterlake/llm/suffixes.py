@@ -1,7 +1,8 @@
 """Exact repeated-substring removal: suffixes ordered through `width` bytes by most-significant-digit passes.
 
 Suffixes that agree in `width` bytes are the repeats; their order beyond that is never needed. A digit is a
-fixed run of bytes, compared by its hash, and after each pass groups of one suffix are done.
+fixed run of bytes, compared by its hash (windows by two independent ones, 128 bits), and after each pass groups of
+one suffix are done.
 
 Pass 1 takes suffixes at synchronising places only: the place of the least hash of a `gram`-byte digit in each
 window. Equal windows have it at equal offsets, so it divides a text into blocks of consecutive windows with one
@@ -13,7 +14,6 @@ share as the digit, and decides cells as pass 1 decides blocks. Pass 3 compares
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +26,13 @@ from platterlake.llm.shared import pieces, texts
 
 WIDTH, GRAM, CELL = 100, 24, 8
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
+#: For a second hash of the same bytes.
+_OTHER = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _PIECE = 3 << 20
 
 
-def _step(h: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
-    h = (h ^ word) * _ODD[k % 3]
+def _step(h: np.ndarray, word: np.ndarray, k: int, odd: list[np.uint64] = _ODD) -> np.ndarray:
+    h = (h ^ word) * odd[k % 3]
     return h ^ (h >> np.uint64(31))
 
 
@@ -54,11 +56,11 @@ class Digits:
             h = _step(h, self.words[at : at + n], k)
         return _step(h, h >> np.uint64(29), 2)
 
-    def at(self, places: np.ndarray, width: int) -> np.ndarray:
+    def at(self, places: np.ndarray, width: int, odd: list[np.uint64] = _ODD) -> np.ndarray:
         h = np.full(len(places), np.uint64(width + 1))
         for k, at in enumerate(self._offsets(width)):
-            h = _step(h, self.words[places + at], k)
-        return _step(h, h >> np.uint64(29), 2)
+            h = _step(h, self.words[places + at], k, odd)
+        return _step(h, h >> np.uint64(29), 2, odd)
 
     @staticmethod
     def _offsets(width: int) -> list[int]:
@@ -122,47 +124,64 @@ def _runs(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndar
     return doc[begin], first[begin], last[np.append(begin[1:], len(doc)) - 1] if len(begin) else last
 
 
+class _Docs:
+    """The documents of a piece in order: by id, then by hash of the text. Rows of the same id and text are one."""
+
+    def __init__(self, piece: pa.RecordBatch):
+        doc, text = (piece.column(k).to_numpy() for k in (0, 1))
+        order = np.lexsort((text, doc))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(doc[order]) != 0) | (np.diff(text[order]) != 0)
+        self.doc, self.text = doc[order][new], text[order][new]
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.cumsum(new) - 1
+
+
 #: `span` holds, from its 8th bit on, the windows after the first, and in the low bits how far the place is from the first.
-_ROW = "digit long, kind long, doc long, first int, span long"
+_ROW = "digit long, kind long, doc long, hash long, first int, span long"
 _PLACE, _DONE = 127, 127
 
 
-def _rows(digit, kind, doc, first, last, ahead) -> pa.RecordBatch:
+def _rows(docs: _Docs, digit, kind, rank, first, last, ahead) -> pa.RecordBatch:
     span = ((last - first).astype(np.int64) << 7) | ahead
-    return pa.RecordBatch.from_arrays([pa.array(digit), pa.array(kind), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(span)], ["digit", "kind", "doc", "first", "span"])
+    columns = [digit, kind, docs.doc[rank], docs.text[rank], first.astype(np.int32), span]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digit", "kind", "doc", "hash", "first", "span"])
 
 
-def _done(doc, first, last) -> pa.RecordBatch:
-    doc, first, last = _runs(doc, first, last)
-    spread = _step(doc.astype(np.int64).view(np.uint64), first.astype(np.uint64), 0).view(np.int64)  # deals them out evenly
-    return _rows(spread, spread, doc, first, last, np.full(len(doc), _DONE))
+def _done(docs: _Docs, rank, first, last) -> pa.RecordBatch:
+    rank, first, last = _runs(rank, first, last)
+    spread = _step(docs.text[rank].view(np.uint64), first.astype(np.uint64), 0).view(np.int64)  # deals them out evenly
+    return _rows(docs, spread, spread, rank, first, last, np.full(len(rank), _DONE))
 
 
-def _decided(digit, kind, doc, first, last, ahead) -> Iterator[pa.RecordBatch]:
+def _decided(docs: _Docs, digit, kind, rank, first, last, ahead) -> Iterator[pa.RecordBatch]:
     """What an earlier entry of the same batch repeats is done; of the rest, one entry of each kind goes on."""
-    later = _later(doc, first, digit, kind)
+    later = _later(rank, first, digit, kind)
     keep = ~later
-    yield _rows(digit[keep], kind[keep], doc[keep], first[keep], last[keep], ahead[keep])
-    yield _done(doc[later], first[later], last[later])
+    yield _rows(docs, digit[keep], kind[keep], rank[keep], first[keep], last[keep], ahead[keep])
+    yield _done(docs, rank[later], first[later], last[later])
 
 
 def _settled(rows: DataFrame, last_pass: bool = False) -> DataFrame:
-    """Per document, its entries that are done (now or before) and those that the next pass has to look into."""
-    own = Window.partitionBy("digit", "kind")
-    done = (F.col("span").bitwiseAND(_PLACE) == _DONE) | (F.struct("doc", "first") > F.min(F.struct("doc", "first")).over(own))
-    rows = rows.withColumn("done", done)
-    if last_pass:
-        rows = rows.where("done")
-    else:
+    """Per document, its entries that are done (now or before) and those that the next pass has to look into.
+
+    Both windows are served by one shuffle by digit. A digit's rows meet in one task: one for each kind and batch, as a
+    batch has settled its own repeats.
+    """
+    if not last_pass:
         digit = Window.partitionBy("digit")
-        rows = rows.withColumn("mixed", F.min("kind").over(digit) != F.max("kind").over(digit)).where("done or mixed")
+        rows = rows.withColumn("mixed", F.min("kind").over(digit) != F.max("kind").over(digit))
+    place = F.struct("doc", "hash", "first")
+    done = (F.col("span").bitwiseAND(_PLACE) == _DONE) | (place > F.min(place).over(Window.partitionBy("digit", "kind")))
+    rows = rows.withColumn("done", done)
+    rows = rows.where("done") if last_pass else rows.where("done or mixed")
     span = F.when(F.col("done"), F.col("span").bitwiseOR(_DONE)).otherwise(F.col("span"))
-    return rows.groupBy("doc").agg(F.collect_list(F.struct("first", span.alias("span"))).alias("found"))
+    return rows.groupBy("doc", "hash").agg(F.collect_list(F.struct("first", span.alias("span"))).alias("found"))
 
 
 def _entries(piece: pa.RecordBatch, at: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """Row of the text, first and last window and place of each entry found before; only those the text has room for."""
-    lists = piece.column(2)
+    lists = piece.column(piece.schema.get_field_index("found"))
     own = np.repeat(np.arange(len(piece)), np.diff(lists.offsets.to_numpy()))
     first, span = (lists.flatten().field(k).to_numpy().astype(np.int64) for k in ("first", "span"))
     last, ahead = first + (span >> 7), span & _PLACE
@@ -178,23 +197,22 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
-    """(doc, found array<struct<first, span>>): windows of documents (doc, text) that also start earlier."""
+    """(doc, hash, found array<struct<first, span>>): windows of documents (doc, hash, text) that also start earlier."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", _PIECE):
-                b = blocks_of(*texts(piece, "text"), width, gram)
-                doc = piece.column(0).to_numpy()[b["row"]]
-                yield from _decided(b["digit"], b["kind"], doc, b["first"], b["last"], b["place"] - b["first"])
+                b, docs = blocks_of(*texts(piece, "text"), width, gram), _Docs(piece)
+                yield from _decided(docs, b["digit"], b["kind"], docs.rank[b["row"]], b["first"], b["last"], b["place"] - b["first"])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", _PIECE):
                 raw, at = texts(piece, "text")
-                doc = piece.column(0).to_numpy()
+                docs = _Docs(piece)
                 own, first, last, ahead = _entries(piece, at, width)
                 done = ahead == _DONE
-                yield _done(doc[own[done]], first[done], last[done])
+                yield _done(docs, docs.rank[own[done]], first[done], last[done])
                 own, first, last, place = own[~done], first[~done], last[~done], (first + ahead)[~done]
                 grid = (place - first) // cell  # cells are counted back from the place
                 entry, number = _spread((place - last) // cell, grid)
@@ -205,25 +223,24 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cell:
                 core = _step(digits.at(base + place - number * cell, width - cell + 1), number.astype(np.uint64), 1)
                 kind = _join(digits.at(base + low, width), digits.at(base + high, width))
                 kind = _step(kind, ((high - low) * width + (place - low)).astype(np.uint64), 2)
-                yield from _decided(core.view(np.int64), kind.view(np.int64), doc[own], low, high, place - low)
+                yield from _decided(docs, core.view(np.int64), kind.view(np.int64), docs.rank[own], low, high, place - low)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", _PIECE):
                 raw, at = texts(piece, "text")
-                doc = piece.column(0).to_numpy()
+                docs = _Docs(piece)
                 own, first, last, ahead = _entries(piece, at, width)
                 done = ahead == _DONE
-                yield _done(doc[own[done]], first[done], last[done])
+                yield _done(docs, docs.rank[own[done]], first[done], last[done])
                 entry, start = _spread(first[~done], last[~done])
                 own, digits = own[~done][entry], Digits(raw)
-                name = digits.at(at[own] + start, width)
-                other = _step(digits.at(at[own] + start, width // 2), name, 1)
-                yield from _decided(other.view(np.int64), name.view(np.int64), doc[own], start, start, np.zeros(len(own), np.int64))
+                name, other = (digits.at(at[own] + start, width, odd) for odd in (_ODD, _OTHER))
+                yield from _decided(docs, other.view(np.int64), name.view(np.int64), docs.rank[own], start, start, np.zeros(len(own), np.int64))
 
     found = _settled(docs.mapInArrow(blocks, _ROW))
     for step in (cells, windows):
-        found = _settled(docs.join(found, "doc").select("doc", "text", "found").mapInArrow(step, _ROW), step is windows)
+        found = _settled(docs.join(found, ["doc", "hash"]).select("doc", "hash", "text", "found").mapInArrow(step, _ROW), step is windows)
     return found
 
 
@@ -232,13 +249,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
 
     Each byte of a `width`-byte string that also starts earlier goes: in a smaller id, or earlier in the same
     text; strings never cross documents, overlaps count, and all are judged on the input. Null and empty texts
-    have no bytes; texts shorter than `width` are kept whole. Null ids come after all others. Rows that share
-    an id are one document: neither is earlier than the other, and a repeated row is cut alike. Empty table:
-    no rows. Other columns are ignored.
+    have no bytes; texts shorter than `width` are kept whole. Null ids come after all others. Rows that share an id
+    (or have none) are documents of their own, in order of the hashes of their texts; a repeated row (same id, same
+    text) is cut as its twin is. Empty table: no rows. Other columns are ignored.
     """
     last_id = (1 << 63) - 1
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last_id)).alias("doc"), F.col(text_col).alias("text"))
-    spans = repeated_spans(rows, width, gram)
+    own = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(last_id)).alias("doc"), F.xxhash64(own, text_col).alias("hash"), F.col(text_col).alias("text"), own.alias("id"))
+    spans = repeated_spans(rows.drop("id"), width, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,33 +274,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
                     turn = np.flatnonzero(np.diff(np.concatenate([[0], cut_out.astype(np.int8), [0]])))
                     runs.append([{"start": int(a), "stop": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(np.diff(at)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
-                    ["doc", "n_bytes", "kept", "spans"],
+                    [piece.column(1), pa.array(np.diff(at)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
+                    ["doc_id", "n_bytes", "kept", "spans"],
                 )
 
-    joined = rows.join(spans, "doc", "left").select("doc", "text", "found")
-    out = joined.mapInArrow(cut, "doc long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
-    return out.select(F.when(F.col("doc") != last_id, F.col("doc")).alias("doc_id"), "n_bytes", "kept", "spans")
+    joined = rows.join(spans, ["doc", "hash"], "left").select("text", "id", "found")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
 
 
 def digests(cut: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(docs: list[tuple[int, str]], width: int = WIDTH) -> dict[int, tuple[int, int, int, str]]:
-    """Per id: bytes, removed bytes, runs and digest, from a dictionary of all windows (for tests)."""
-    seen: set[bytes] = set()
-    out = {}
-    for doc, text in sorted(docs, key=lambda x: x[0]):
-        raw = (text or "").encode()
-        gone = np.zeros(len(raw), bool)
-        for i in range(len(raw) - width + 1):
-            s = raw[i : i + width]
-            if s in seen:
-                gone[i : i + width] = True
-            seen.add(s)
-        edges = np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])) == 1)
-        left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        out[doc] = (len(raw), int(gone.sum()), int(edges), hashlib.sha256(left).hexdigest())
-    return out
