@@ -4,7 +4,8 @@ Each language has a tree of byte contexts of up to `order` bytes. A byte is code
 the tree has; where that context never saw the byte, an escape is coded (method C: as many escapes as distinct
 bytes seen) and the next shorter context is tried, down to a uniform code of 8 bits. The counts are frozen, so
 a text's code length is a sum over its bytes of a cost that depends on the last `order` + 1 bytes alone: each
-distinct (order + 1)-gram of a batch is costed once.
+distinct (order + 1)-gram of a batch is costed once. Trees too large to broadcast are a table: then the distinct grams of
+all texts are costed by joins with it, one for each length of context, and each text sums the costs of its grams.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from platterlake.llm.shared import pieces, text_bytes, written
 
 #: Bytes of context; a gram of one byte more must fit a signed 64-bit word.
 ORDER = 3
-#: Grams of the languages whose trees are broadcast together; the texts are passed once for each such set.
-SET_GRAMS = 1 << 22
+#: Trees of at most so many grams, over all languages, are broadcast; larger ones are joined with the texts' grams.
+BROADCAST_GRAMS = 1 << 20
 UNDETERMINED = "und"
 _LETTER = r"\p{L}"
 _START = 0x0A  # what stands before a text
@@ -109,19 +111,6 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str, order: int) -> Da
     return rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def language_sets(sizes: dict[str, int], most: int) -> list[list[str]]:
-    """All languages in order of name, in sets of at most `most` grams, or of one language."""
-    sets: list[list[str]] = []
-    held = 0
-    for lang in sorted(sizes):
-        if not sets or held + sizes[lang] > most:
-            sets.append([])
-            held = 0
-        sets[-1].append(lang)
-        held += sizes[lang]
-    return sets
-
-
 def identify_language(
     docs: DataFrame,
     train: Column,
@@ -129,45 +118,91 @@ def identify_language(
     text_col: str = "text",
     lang_col: str = "lang",
     order: int = ORDER,
-    set_grams: int = SET_GRAMS,
+    broadcast_grams: int = BROADCAST_GRAMS,
 ) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row; the trees learn from the rows where `train` holds.
 
-    score: the posterior of the predicted language from the code lengths of the whole text, with equal priors.
-    Null text or a text without a letter: `und` with score 0, and so every text where nothing could be learned.
-    Rows with null language are predicted but not learned from. Ties go to the language first by name. Ids only
-    pass through: null or repeated ids and repeated rows give a row each. Empty table: no rows. Other columns
-    are ignored. Every language and gram is learned; where the trees of all languages are too many for one set,
-    each set's code lengths are compared with the least and the sum of the sets before.
+    score: the share of the predicted language among all, each weighed by 2 to the minus its bits a byte; so it tells
+    how much shorter the code is, whatever the length of the text. Null text or a text without a letter: `und` with
+    score 0, and so every text where nothing could be learned. Rows with null language are predicted but not learned
+    from. Ties go to the language first by name. Ids only pass through: null or repeated ids and repeated rows give a
+    row each. Empty table: no rows. Other columns are ignored. Every language and gram is learned; whether the trees
+    are broadcast or joined depends on their counted size, and the results don't.
     """
     counts = written(gram_counts(docs.where(train), text_col, lang_col, order))
-    sizes = {r["lang"]: r["grams"] for r in counts.groupBy("lang").agg(F.count("gram").alias("grams")).collect()}
     rows = docs.select(F.col(id_col).alias("doc_id"), (~train).alias("held_out"), F.col(text_col).alias("text"))
-    rows = rows.withColumns({"lang_pred": F.lit(UNDETERMINED), "least": F.lit(float("inf")), "total": F.lit(0.0)})
-    names, kind = rows.columns, rows.schema["doc_id"].dataType.simpleString()
-
-    def told(trees) -> DataFrame:
-        def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            langs = np.array(trees.value.langs, object)
-            for batch in batches:
-                for piece in pieces(batch, "text", 2 << 20):
-                    spoken = pc.match_substring_regex(piece.column(2), _LETTER).fill_null(False).to_numpy(zero_copy_only=False)
-                    bits = trees.value.lengths(piece.column(2))
-                    before, total = piece.column(4).to_numpy(), piece.column(5).to_numpy()
-                    least = np.minimum(before, bits.min(1))
-                    total = total * np.exp2(least - before) + np.exp2(least[:, None] - bits).sum(1)
-                    best = np.where(bits.min(1) < before, langs[bits.argmin(1)], np.array(piece.column(3).to_pylist(), object))
-                    columns = [np.where(spoken, best, UNDETERMINED), least, np.where(spoken, total, 0.0)]
-                    yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(columns[0], pa.string()), *map(pa.array, columns[1:])], names)
-
-        return rows.mapInArrow(predicted, f"doc_id {kind}, held_out boolean, text string, lang_pred string, least double, total double")
-
-    sets = language_sets(sizes, set_grams)
-    for i, langs in enumerate(sets):
-        own = counts.where(F.col("lang").isin(langs)).toPandas()
-        trees = ContextTrees({lang: (x["gram"].to_numpy(), x["n"].to_numpy()) for lang, x in own.groupby("lang")}, order)
-        rows = told(docs.sparkSession.sparkContext.broadcast(trees))
-        if i + 1 < len(sets):  # no two sets are held by a task at once
-            rows = written(rows)
-    score = F.when(F.col("total") == 0, 0.0).otherwise(1 / F.col("total"))
-    return rows.select("doc_id", "held_out", "lang_pred", score.alias("score"))
+    found = counts.agg(F.count("gram")).first()[0]
+    if not found:
+        return rows.select("doc_id", "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    return _by_broadcast(rows, counts, order) if found <= broadcast_grams else _by_joins(rows, counts, order)
+
+
+def _spoken(column: pa.Array) -> np.ndarray:
+    return pc.match_substring_regex(column, _LETTER).fill_null(False).to_numpy(zero_copy_only=False)
+
+
+def _by_broadcast(rows: DataFrame, counts: DataFrame, order: int) -> DataFrame:
+    held = counts.toArrow()
+    langs = held.column("lang").combine_chunks().dictionary_encode()
+    own = langs.indices.to_numpy()
+    gram, n = (held.column(x).to_numpy() for x in ("gram", "n"))
+    trees = ContextTrees({lang: (gram[own == k], n[own == k]) for k, lang in enumerate(langs.dictionary.to_pylist())}, order)
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
+
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(shared.value.langs, object)
+        for batch in batches:
+            for piece in pieces(batch, "text", 2 << 20):
+                spoken, bits = _spoken(piece.column(2)), shared.value.lengths(piece.column(2))
+                size = np.maximum(np.diff(grams(piece.column(2), 0)[1]), 1)
+                score = 1 / np.exp2((bits.min(1)[:, None] - bits) / size[:, None]).sum(1)
+                best = np.where(spoken, names[bits.argmin(1)], UNDETERMINED)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:2], pa.array(best, pa.string()), pa.array(np.where(spoken, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+
+    return rows.mapInArrow(predicted, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+
+
+def gram_costs(wanted: DataFrame, counts: DataFrame, order: int) -> DataFrame:
+    """(gram, lang, cost): the bits of each wanted gram's last byte under every language, by a join for each length of context."""
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    costs = wanted.select("gram", F.explode(F.array(*map(F.lit, langs))).alias("lang")).withColumns({"cost": F.lit(0.0), "open": F.lit(True)})
+    for k in range(order, -1, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        level = counts.groupBy("lang", suffix.alias("suffix")).agg(F.sum("n").alias("seen"))
+        contexts = level.groupBy("lang", F.shiftright("suffix", 8).alias("context")).agg(F.sum("seen").alias("total"), F.count("seen").alias("distinct"))
+        costs = costs.withColumn("suffix", suffix).join(level, ["lang", "suffix"], "left").withColumn("context", F.shiftright("suffix", 8)).join(contexts, ["lang", "context"], "left")
+        part = F.coalesce("seen", "distinct") / (F.col("total") + F.col("distinct"))
+        cost = F.when(F.col("open") & F.col("total").isNotNull(), -F.log2(part)).otherwise(0.0)
+        costs = costs.select("gram", "lang", (F.col("cost") + cost).alias("cost"), (F.col("open") & F.col("seen").isNull()).alias("open"))
+    return costs.select("gram", "lang", (F.col("cost") + F.when(F.col("open"), 8.0).otherwise(0.0)).alias("cost"))
+
+
+def _by_joins(rows: DataFrame, counts: DataFrame, order: int) -> DataFrame:
+    kind = rows.schema["doc_id"].dataType
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, and one for each gram of it."""
+        names = ["row", "gram", "n", "doc_id", "held_out", "spoken", "size"]
+        row = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for piece in pieces(batch, "text", 2 << 20):
+                codes, at = grams(piece.column(2), order)
+                size, ids = np.diff(at), row + np.arange(len(piece))
+                row += len(piece)
+                none = pa.nulls(len(piece), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids), none, none, *piece.columns[:2], pa.array(_spoken(piece.column(2))), pa.array(size)], names)
+                held = pa.table([np.repeat(ids, size), codes], ["row", "gram"]).group_by(["row", "gram"]).aggregate([([], "count_all")])
+                own = [pa.nulls(len(held), t) for t in (piece.schema.field(0).type, pa.bool_(), pa.bool_(), pa.int64())]
+                yield from pa.table([*(held.column(x) for x in ("row", "gram", "count_all")), *own], names).to_batches()
+
+    parts = written(rows.mapInArrow(spread, f"row long, gram long, n long, doc_id {kind.simpleString()}, held_out boolean, spoken boolean, size long"))
+    held = parts.where("gram is not null").select("row", "gram", "n")
+    costs = written(gram_costs(held.select("gram").distinct(), counts, order))
+    bits = held.join(costs, "gram").groupBy("row", "lang").agg(F.sum(F.col("n") * F.col("cost")).alias("bits"))
+    told = bits.groupBy("row").agg(F.min(F.struct("bits", "lang")).alias("best"), F.collect_list("bits").alias("all"))
+    texts_ = parts.where("gram is null").select("row", "doc_id", "held_out", "spoken", "size")
+    weights = F.transform("all", lambda b: F.pow(F.lit(2.0), (F.col("best.bits") - b) / F.col("size")))
+    score = 1 / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
+    return texts_.join(told, "row", "left").select(
+        "doc_id", "held_out", F.when(F.col("spoken"), F.col("best.lang")).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("spoken"), score).otherwise(0.0).alias("score")
+    )
