@@ -106,7 +106,8 @@ def near_vectors(
 
     Null, empty and zero vectors, vectors with null or non-finite components and rows with null label link with
     nothing: no links, their own component, kept. Equal vectors of a label are one class inside, so thousands
-    of copies cost no more than one; a repeated row is one more vector (it links with its twin). A row with
+    of copies cost no more than one; a repeated row is one more vector (it links with its twin), and rows that share
+    an id are vectors like any others (component_id is the least id reached). A row with
     null id is given back without links. Empty table: no rows. Other columns are ignored.
     """
     if vectors.schema[vector_col].dataType.simpleString() != "array<float>":
@@ -116,7 +117,8 @@ def near_vectors(
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite & (biggest > 0), F.lit(False))
     rows = rows.withColumn("ok", usable).withColumn("hash", F.when(F.col("ok"), F.xxhash64("label", "v")))
-    classes = written(rows.where("ok").groupBy("hash", "label", "v").agg(F.min("vec_id").alias("cls"), F.count("v").alias("n")))
+    classes = rows.where("ok").groupBy("hash", "label", "v").agg(F.min("vec_id").alias("first_id"), F.count("v").alias("n"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()))  # numbered once, as they are written
 
     lattices: dict[int, Lattice] = {}
 
@@ -157,12 +159,14 @@ def near_vectors(
     found = written(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(linked, "cls long, links long, root long"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     components = connected_components(found, "cls", "root").withColumnRenamed("node", "cls")
-    each = classes.join(links, "cls", "left").join(components, "cls", "left").select(
+    placed_in = classes.join(components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    heads = placed_in.groupBy("component").agg(F.min("first_id").alias("head"))
+    each = placed_in.join(heads, "component").join(links, "cls", "left").select(
         F.col("hash").alias("_hash"),
         F.col("v").alias("_v"),
         F.col("label").alias("_label"),
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "cls").alias("component_id"),
+        F.col("head").alias("component_id"),
     )
     joined = rows.join(each, (rows["hash"] == each["_hash"]) & (rows["label"] == each["_label"]) & (rows["v"] == each["_v"]), "left")
     return joined.select(
