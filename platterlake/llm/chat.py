@@ -11,7 +11,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 _SPECIAL = re.compile(r"[\\#<:]")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _BODY = r"((?:[^\\#<:]|\\.)*)"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _TURN = re.compile(rf"### {_BODY}: {_BODY}</turn>\n", re.DOTALL)
 
 
@@ -83,7 +84,8 @@ def format_chats(
     Events are gathered by conversation (the lists are built before the shuffle too), sorted by sequence,
     then role and text where it ties, null sequence last, and folded. Without `kind_col` each row is a
     message. Null text or role: empty. Null conversation id: a conversation of its own. Repeated rows: a turn
-    each. Empty table: no rows. Other columns are ignored.
+    each. Ids of any type pass as they are. A conversation, being one text, is folded in the task that returns it.
+    Empty table: no rows. Other columns are ignored.
     """
     kind = F.coalesce(F.col(kind_col), F.lit("message")) if kind_col else F.lit("message")
     event = F.struct(
@@ -96,29 +98,30 @@ def format_chats(
     )
     logs = events.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(event)).alias("log"))
 
-    def formatted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [render(fold_events(log), loss_role) for log in frame["log"]]
-            yield pd.DataFrame({"conv_id": frame["conv_id"], "formatted": [x for x, _ in done], "loss": [x for _, x in done]})
+    def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [render(fold_events(log), loss_role) for log in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], _SPANS)], ["conv_id", "formatted", "loss"])
 
     kind_of_id = logs.schema["conv_id"].dataType.simpleString()
-    return logs.mapInPandas(formatted, f"conv_id {kind_of_id}, formatted string, loss array<struct<start: bigint, stop: bigint>>")
+    return logs.mapInArrow(formatted, f"conv_id {kind_of_id}, formatted string, loss array<struct<start: bigint, stop: bigint>>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what the formatted texts and their loss spans say."""
 
-    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for conv, text, loss in zip(frame["conv_id"], frame["formatted"], frame["loss"], strict=True):
+            for text, loss in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 turns = parse(text)
                 said = "".join(unescape(text[x["start"] : x["stop"]]) for x in loss)
-                rows.append((conv, len(turns), _sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), _sha(said), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                rows.append((len(turns), _sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), _sha(said), len(text)))
+            found = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     kind_of_id = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.mapInPandas(digests, f"conv_id {kind_of_id}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(digests, f"conv_id {kind_of_id}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _sha(text: str) -> str:
