@@ -94,8 +94,9 @@ def decontaminate(
 
     A benchmark item of fewer than `window` words is one window of its own length. Null and empty texts have
     no words and hit nothing; items without words occur nowhere; a null item id reads as `null`. Null document
-    ids are one more id. Repeated rows get a row each, with equal results. Without documents there are no
-    rows; without items every document is clean. Other columns are ignored.
+    ids are one more id; text_hash, the text's xxhash64, tells rows of one id apart. Repeated rows get a row each, with
+    equal results. Without documents there are no rows; without items every document is clean. Other columns are
+    ignored. A benchmark of more than `broadcast_windows` distinct windows is joined by shuffle, with equal results.
     """
     no_spans, no_items = F.array().cast("array<struct<start:int,stop:int>>"), F.array().cast("array<string>")
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item_id"), words_of(F.col(item_text_col)).alias("_words"))
@@ -115,16 +116,20 @@ def decontaminate(
     spread = _named(worded.select(*keys, "_words", n_words), lengths, gram).select(*keys, "n_words", F.posexplode_outer(entries).alias("_at", "name"))
     met = written(spread.join(names, "name", "left").where("_at = 0 or length is not null").select(*keys, "n_words", "_at"))
 
-    # The texts with a name of the benchmark again: their windows of such names are extended to all words.
+    # The texts with a name of the benchmark again: their windows of such names are extended to all words, where a
+    # name is found only. Beyond the broadcast bound these are sort-merge joins, whose hot names adaptive execution splits.
     some = met.where("_at > 0").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t"))
-    again = _named(rows.join(some, same, "left_semi").select(*keys, words_of(F.col("_raw")).alias("_words")), lengths, gram)
+    again = written(rows.join(some, same, "left_semi").select(*keys, words_of(F.col("_raw")).alias("_words")))
 
-    def extended(at: int, length: int) -> Column:
-        return F.transform(F.get("_names", F.lit(at)), lambda name, i: F.struct(i.alias("start"), F.lit(length).alias("length"), name.alias("name"), _window_text(i, F.lit(length)).alias("win")))
+    def placed(at: int, length: int) -> Column:
+        return F.transform(F.get("_names", F.lit(at)), lambda name, i: F.struct(i.alias("start"), F.lit(length).alias("length"), name.alias("name")))
 
-    windows = F.flatten(F.array(*[extended(at, length) for at, length in enumerate(lengths)]))
-    hits = again.select(*keys, F.explode_outer(windows).alias("w")).select(*keys, "w.*").join(names, ["name", "length"]).join(wins, "win")
+    places = F.flatten(F.array(*[placed(at, length) for at, length in enumerate(lengths)]))
+    named = _named(again, lengths, gram).select(*keys, F.explode_outer(places).alias("w")).select(*keys, "w.*").join(names, ["name", "length"])
+    starts = named.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_t")).agg(F.collect_set(F.struct("start", "length")).alias("_starts"))
+    told = again.join(starts, same).select(*keys, "_words", F.explode("_starts").alias("w"))
+    hits = told.select(*keys, "w.*", _window_text(F.col("w.start"), F.col("w.length")).alias("win")).join(wins, "win")
     span = F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.col("length")).cast("int").alias("stop"))
     found = hits.groupBy(*keys).agg(F.collect_set(span).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "spans", "items")
