@@ -123,8 +123,8 @@ def drop_recurring_lines(
     kind = rows.schema["_doc"].dataType.simpleString()
     where = written(rows.mapInArrow(lines, f"doc {kind}, line long, leaf long, runs array<long>"))
     distinct = where.groupBy("line").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("leaf").alias("leaf"))
-    crowded = distinct.where("leaf is not null").groupBy("leaf").agg(F.count("line").alias("lines")).where("lines > 1").select("leaf")
-    told = written(where.select("line", "leaf", "runs").join(crowded, "leaf", "left_semi").dropDuplicates(["line"]))
+    crowded = written(distinct.where("leaf is not null").groupBy("leaf").agg(F.count("line").alias("lines")).where("lines > 1").select("leaf"))
+    told = written(where.select("line", "leaf", "runs").join(crowded, "leaf", "left_semi").dropDuplicates(["line"]), crowded)  # a plain join: a hot leaf is split
     templates = written(line_templates(told), told)
     named = distinct.join(templates, "line", "left").select("line", "low", "high", F.coalesce("template", "line").alias("template"))
     recurring = named.groupBy("template").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").drop("last")
