@@ -29,6 +29,7 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB
 #: For a second hash of the same bytes.
 _OTHER = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _PIECE = 3 << 20
+_LAST_ID = (1 << 63) - 1
 
 
 def _step(h: np.ndarray, word: np.ndarray, k: int, odd: list[np.uint64] = _ODD) -> np.ndarray:
@@ -128,7 +129,7 @@ class _Docs:
     """The documents of a piece in order: by id, then by hash of the text. Rows of the same id and text are one."""
 
     def __init__(self, piece: pa.RecordBatch):
-        doc, text = (piece.column(k).to_numpy() for k in (0, 1))
+        doc, text = piece.column(0).fill_null(_LAST_ID).to_numpy(), piece.column(1).to_numpy()
         order = np.lexsort((text, doc))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(doc[order]) != 0) | (np.diff(text[order]) != 0)
@@ -196,8 +197,17 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return entry, first[entry] + np.arange(len(entry)) - (np.cumsum(n) - n)[entry]
 
 
+def with_found(docs: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Documents (id, hash, text) with what was found of them."""
+    own = found.select("doc", F.col("hash").alias("_hash"), "found")
+    return docs.join(own, (F.coalesce("id", F.lit(_LAST_ID)) == F.col("doc")) & (F.col("hash") == F.col("_hash")), how).select("id", "hash", "text", "found")
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
-    """(doc, hash, found array<struct<first, span>>): windows of documents (doc, hash, text) that also start earlier."""
+    """(doc, hash, found array<struct<first, span>>): windows of documents (id, hash, text) that also start earlier; a null id comes last.
+
+    Each pass joins the same columns of the documents, so their texts are shuffled once for all.
+    """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +250,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cell:
 
     found = _settled(docs.mapInArrow(blocks, _ROW))
     for step in (cells, windows):
-        found = _settled(docs.join(found, ["doc", "hash"]).select("doc", "hash", "text", "found").mapInArrow(step, _ROW), step is windows)
+        found = _settled(with_found(docs, found).mapInArrow(step, _ROW), step is windows)
     return found
 
 
@@ -253,10 +263,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
     (or have none) are documents of their own, in order of the hashes of their texts; a repeated row (same id, same
     text) is cut as its twin is. Empty table: no rows. Other columns are ignored.
     """
-    last_id = (1 << 63) - 1
     own = F.col(id_col).cast("long")
-    rows = docs.select(F.coalesce(own, F.lit(last_id)).alias("doc"), F.xxhash64(own, text_col).alias("hash"), F.col(text_col).alias("text"), own.alias("id"))
-    spans = repeated_spans(rows.drop("id"), width, gram)
+    rows = docs.select(own.alias("id"), F.xxhash64(own, text_col).alias("hash"), F.col(text_col).alias("text"))
+    spans = repeated_spans(rows, width, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,12 +283,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
                     turn = np.flatnonzero(np.diff(np.concatenate([[0], cut_out.astype(np.int8), [0]])))
                     runs.append([{"start": int(a), "stop": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(1), pa.array(np.diff(at)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
+                    [piece.column(0), pa.array(np.diff(at)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
                     ["doc_id", "n_bytes", "kept", "spans"],
                 )
 
-    joined = rows.join(spans, ["doc", "hash"], "left").select("text", "id", "found")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
+    return with_found(rows, spans, "left").mapInArrow(cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>")
 
 
 def digests(cut: DataFrame) -> DataFrame:
