@@ -21,7 +21,8 @@ def glob_regex(pattern: str, hash_is_any: bool = False) -> str:
             out.append(".")
         elif close > 0:
             body = pattern[i + 1 : close].replace("\\", r"\\").replace("[", r"\[").replace("&", r"\&")
-            out.append(f"[{'^' + body[1:] if body[0] == '!' else body}]")
+            negated, body = ("^", body[1:]) if body[0] == "!" else ("", body)
+            out.append(f"[{negated}{body.replace('^', chr(92) + '^')}]")  # only `!` negates
             i = close
         else:
             out.append(re.sub(r"([^A-Za-z0-9_])", r"\\\1", c) if c.isascii() else c)

@@ -29,8 +29,9 @@ def byte_at(data: Column, offset: Column | int) -> Column:
 def uint_le(data: Column, offset: Column | int, width: int) -> Column:
     """Little-endian unsigned number of `width` bytes at a 0-based offset."""
     at = F.lit(offset) if isinstance(offset, int) else offset
-    digits = [F.hex(data.substr(at + F.lit(k + 1), F.lit(1))) for k in reversed(range(width))]
-    return F.when(F.length(data) >= at + width, F.conv(F.concat(*digits), 16, 10).cast("long"))
+    digits = F.hex(data.substr(at + F.lit(1), F.lit(width)))
+    ordered = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(width))]) if width > 1 else digits
+    return F.when(F.length(data) >= at + width, F.conv(ordered, 16, 10).cast("long"))
 
 
 def uint_be(data: Column, offset: Column | int, width: int) -> Column:
@@ -50,11 +51,12 @@ def sectors_required(length: Column) -> Column:
 
 
 def capacity_bytes(text: Column) -> Column:
-    """Bytes of a text like `10MB`, `40 MiB` or `1024`; null where it is no capacity."""
-    pattern = r"^\s*(\d+)\s*([a-zA-Z]*)\s*$"
-    unit = F.lower(F.regexp_extract(text, pattern, 2))
+    """Bytes of a text like `10MB`, `40 MiB` or `1024`: a whole number, then a unit or none; null where it is no capacity."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    number = F.regexp_substr(bare, F.lit("^[0-9]+"))
+    unit = F.lower(F.regexp_replace(bare, r"^[0-9]+\s*", ""))
     times = F.coalesce(*[F.when(unit == name, F.lit(n)) for name, n in CAPACITY_UNITS.items()]).cast("long")
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1).try_cast("long") * times)
+    return number.try_cast("long") * times
 
 
 def object_bytes(sectors: Column, last_bytes: Column) -> Column:

@@ -129,8 +129,19 @@ def rename(entries: DataFrame, moves: DataFrame, key: str = KEY) -> tuple[DataFr
     return moved, refused.select(key, F.lit("exists").alias("code"), F.col("new_path").alias("path"), F.lit(None).cast("string").alias("detail"))
 
 
-def set_locked(entries: DataFrame, pattern: str, locked: bool) -> DataFrame:
-    return entries.withColumn("locked", F.when(matches(F.col("path"), pattern, hash_is_any=True), locked).otherwise(F.col("locked")))
+def _hit(pattern: str, recursive: bool) -> Column:
+    """Paths that match, and where `recursive` all paths below one that does."""
+    found = matches(F.col("path"), pattern, hash_is_any=True)
+    return found | matches(F.col("path"), f"{pattern}.*", hash_is_any=True) if recursive else found
+
+
+def set_locked(entries: DataFrame, pattern: str, locked: bool, recursive: bool = False) -> DataFrame:
+    return entries.withColumn("locked", F.when(_hit(pattern, recursive), locked).otherwise(F.col("locked")))
+
+
+def chmod(entries: DataFrame, pattern: str, access: Column, recursive: bool = False, column: str = "attr") -> DataFrame:
+    """`access` (a canonical or a server's byte, as the column holds) for what matches, and for all below it where `recursive`."""
+    return entries.withColumn(column, F.when(_hit(pattern, recursive), access.cast(entries.schema[column].dataType)).otherwise(F.col(column)))
 
 
 def set_address(entries: DataFrame, pattern: str, column: str, value: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,21 +77,33 @@ def split_at_cylinders(ranges: DataFrame, sectors_per_cylinder: int) -> DataFram
 def first_fit_sequence(regions: DataFrame, requests: DataFrame, key: str = "image_id") -> DataFrame:
     """(image, seq, need, start): requests served one after another from the first region that holds them; null where none does.
 
-    What a request gets depends on those before it, so an image's few regions and its requests are folded in order.
+    What a request gets depends on those before it: an image's regions come first, its requests follow in order, and only
+    the regions that are left are held.
     """
-    region = "struct<start_sector: bigint, length: bigint>"
-    state_type = f"struct<free: array<{region}>, done: array<struct<seq: bigint, need: bigint, start: bigint>>>"
-    lists = regions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("start_sector").cast("long").alias("start_sector"), F.col("length").cast("long").alias("length")))).alias("free"))
-    asked = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("need").cast("long").alias("need")))).alias("asked"))
-    joined = asked.join(lists, key, "left").withColumn("free", F.coalesce("free", F.array().cast(f"array<{region}>")))
-    start = F.struct(F.col("free").alias("free"), F.array().alias("done")).cast(state_type)
-
-    def serve(state: Column, r: Column) -> Column:
-        fitting = F.filter(state["free"], lambda x: x["length"] >= r["need"])
-        taken = F.get(fitting, 0)["start_sector"]
-        shrunk = F.transform(state["free"], lambda x: F.when(x["start_sector"] == taken, F.struct((x["start_sector"] + r["need"]).alias("start_sector"), (x["length"] - r["need"]).alias("length"))).otherwise(x))
-        left = F.filter(shrunk, lambda x: x["length"] > 0)
-        row = F.struct(r["seq"].alias("seq"), r["need"].alias("need"), taken.alias("start"))
-        return F.struct(F.when(taken.isNull(), state["free"]).otherwise(left).alias("free"), F.concat(state["done"], F.array(row)).alias("done")).cast(state_type)
-
-    return joined.select(key, F.aggregate("asked", start, serve)["done"].alias("done")).select(key, F.inline("done"))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    free = regions.select(key, F.lit(0).alias("turn"), long("start_sector"), long("length"))
+    asked = requests.select(key, F.lit(1).alias("turn"), F.col("seq").cast("long").alias("start_sector"), F.col("need").cast("long").alias("length"))
+    rows = free.unionByName(asked).where(F.col(key).isNotNull())
+    kind = rows.schema[key].dataType.simpleString()
+
+    def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, left = object(), []
+        for batch in batches:
+            at, taken = [], []
+            for i, (own, turn, first, n) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if own != image:
+                    image, left = own, []
+                if not turn:
+                    left.append([first, n])
+                    continue
+                fits = next((r for r in left if r[1] >= n), None)
+                at.append(i)
+                taken.append(fits and fits[0])
+                if fits:
+                    fits[0], fits[1] = fits[0] + n, fits[1] - n
+                    left = [r for r in left if r[1]]
+            served = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([served.column(0), served.column(2), served.column(3), pa.array(taken, pa.int64())], [key, "seq", "need", "start"])
+
+    in_order = rows.repartition(key).sortWithinPartitions(key, "turn", "start_sector", "length")
+    return in_order.mapInArrow(serve, f"`{key}` {kind}, seq bigint, need bigint, start bigint")

@@ -1,7 +1,7 @@
 """Directory trees as relations (image_id, id, parent_id, name, ordinal, is_dir).
 
-Paths are found by pointer doubling: each round replaces a node's ancestor by that ancestor's own, so five rounds
-reach the root from depth 32 with five joins, no loop on the driver and no recursion limit.
+Paths are found by pointer doubling: each round replaces a node's ancestor by that ancestor's own, so k rounds reach the
+root from depth 2 ** k with k joins. The number of directories of an image bounds its depth, and so the rounds.
 """
 
 from __future__ import annotations
@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from platterlake.functions.globs import matches
 from platterlake.functions.paths import leaf
 
-ROUNDS = 5
+def rounds_for(nodes: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> int:
+    """Rounds of doubling that reach the root from the deepest node there can be: one below all of its image's parents."""
+    parents = nodes.groupBy(*keys).agg(F.count_distinct("parent_id").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, int(parents).bit_length())
 
 
-def tree_paths(nodes: DataFrame, rounds: int = ROUNDS, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def tree_paths(nodes: DataFrame, rounds: int | None = None, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """The nodes with `path`, `depth` (root: 0) and `place`, an array that sorts them in pre-order.
 
-    Nodes deeper than 2 ** rounds, and those whose chain of parents doesn't end in a root, get a null path.
+    Without `rounds`, any depth is reached. Nodes whose chain of parents doesn't end in a root (cycles) get a null path.
     """
+    rounds = rounds_for(nodes, keys) if rounds is None else rounds
     up = nodes.select(*keys, "id", F.col("parent_id").alias("up"), F.col("name").alias("path"), F.array(F.struct("ordinal", "name")).alias("place"), F.lit(0).alias("depth"))
     for _ in range(rounds):
         above = up.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("place").alias("_place"), F.col("depth").alias("_depth"))

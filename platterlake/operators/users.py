@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,18 +76,25 @@ def balances(users: DataFrame, writes: DataFrame, key: str = "user") -> DataFram
 def accepted_writes(users: DataFrame, writes: DataFrame, key: str = "user") -> DataFrame:
     """(user, seq, cost, accepted, balance) where a write that costs more than is left is refused and costs nothing.
 
-    Each balance depends on the decision before it: a user's writes are folded in order, one user a group.
+    Each balance depends on the decision before it: a user's writes are folded in order as they come by, and nothing but
+    what the user has left is held.
     """
     data = F.ceil(F.col("bytes") / 256).cast("long")
     cost = (data + F.ceil(data / 48).cast("long")) * 256
-    costs = writes.withColumn("cost", cost).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "cost"))).alias("w"))
-    start = F.struct(F.col("free_space").cast("long").alias("left"), F.array().cast("array<struct<seq: bigint, cost: bigint, accepted: boolean, balance: bigint>>").alias("done"))
-
-    def step(state, w):
-        ok = w["cost"] <= state["left"]
-        left = F.when(ok, state["left"] - w["cost"]).otherwise(state["left"])
-        row = F.struct(w["seq"].cast("long").alias("seq"), w["cost"].alias("cost"), ok.alias("accepted"), left.alias("balance"))
-        return F.struct(left.alias("left"), F.concat(state["done"], F.array(row)).alias("done"))
-
-    folded = costs.join(users.select(key, "free_space"), key).select(key, F.aggregate("w", start, step)["done"].alias("done"))
-    return folded.select(key, F.inline("done"))
+    priced = writes.select(key, F.col("seq").cast("long").alias("seq"), cost.alias("cost")).join(users.select(key, F.col("free_space").cast("long").alias("free_space")), key)
+    kind = priced.schema[key].dataType.simpleString()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, left = object(), 0
+        for batch in batches:
+            accepted, balance = [], []
+            for u, spent, at_first in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if u != user:
+                    user, left = u, at_first
+                accepted.append(spent <= left)
+                left -= spent if accepted[-1] else 0
+                balance.append(left)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(accepted, pa.bool_()), pa.array(balance, pa.int64())], [key, "seq", "cost", "accepted", "balance"])
+
+    in_order = priced.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "seq", "cost")
+    return in_order.mapInArrow(decide, f"`{key}` {kind}, seq bigint, cost bigint, accepted boolean, balance bigint")

@@ -142,7 +142,7 @@ def q11_packed_date_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return packed.withColumn("day", dates.unpack_date(F.col("packed")).cast("string"))
 
 
-_ASCII_NAME = r"regexp_replace(substr(text, 1, 24), '[^\x00-\x7F]', '~', 'g')"
+_ASCII_NAME = r"regexp_replace(text, '[^\x00-\x7F]', '~', 'g')"
 
 
 @query(
@@ -152,7 +152,7 @@ _ASCII_NAME = r"regexp_replace(substr(text, 1, 24), '[^\x00-\x7F]', '~', 'g')"
                 ELSE regexp_replace(translate(t, '. :/', '____'), '[^\x21-\x7E]', '', 'g') END, 1, 10) AS server FROM a"""
 )
 def q12_sanitise_names(spark: SparkSession, d: str) -> DataFrame:
-    ascii_only = F.regexp_replace(F.substring("text", 1, 24), r"[^\x00-\x7F]", "~")
+    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "~")
     return table(spark, d, "documents").select("doc_id", text.flat_name(ascii_only).alias("flat"), text.server_name(ascii_only).alias("server"))
 
 

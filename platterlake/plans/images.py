@@ -13,7 +13,7 @@ from platterlake.operators.metadata import resolve_members
 from platterlake.sinks.images import adfs_images, dfs_images
 from platterlake.sinks.server import archive_files, server_images
 from platterlake.sources import adfs, afs, archives, dfs
-from platterlake.sources.images import surfaces, with_layout
+from platterlake.sources.images import in_file_order, in_linear_order, surfaces, with_layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,16 +45,31 @@ def _file_bytes(length: str) -> Column:
     return F.encode(F.expr(f"substring(repeat(md5(cast(cast(p_partkey as string) as binary)), cast(ceil({length} / 32.0) as int)), 1, cast({length} as int))"), "UTF-8")
 
 
-def q46_hierarchical_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Files of hierarchical images and the bytes they hold, through directory blocks and free maps."""
+def _hierarchical(spark: SparkSession, d: str, sectors: int) -> DataFrame:
     files = bridge.entries(spark, d).select("image_id", "name", F.when(F.col("locked"), "LWR").otherwise("WRr").alias("flags"), "load", (F.col("p_partkey") % 65536).alias("exec"), "length", _file_bytes("length").alias("data"))
-    discs = files.select("image_id").distinct().select("image_id", F.lit("BRIDGE").alias("title"), F.lit(7).alias("disc_id"), F.lit(2).alias("boot_option"), F.lit(1280).alias("total_sectors"))
-    images = adfs_images(files, discs)
-    found = adfs.read_files(images, adfs.entries(images, max_depth=1))
+    discs = files.select("image_id").distinct().select("image_id", F.lit("BRIDGE").alias("title"), F.lit(7).alias("disc_id"), F.lit(2).alias("boot_option"), F.lit(sectors).alias("total_sectors"))
+    return adfs_images(files, discs)
+
+
+def _listed(images: DataFrame) -> DataFrame:
+    found = adfs.read_files(images, adfs.entries(images))
     flags = F.array_join(F.array_sort(F.split("flags", "")), "")
     return found.select("image_id", F.col("id").alias("path"), flags.alias("flags"), "load", "exec", "length", F.md5("data").alias("data_md5"))
 
 
+def q46c_two_sided_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The same through two-sided floppies, whose files hold a track of each side in turn."""
+    built = _hierarchical(spark, d, 2560)
+    named = built.select("image_id", F.concat(F.col("image_id").cast("string"), F.lit(".adl")).alias("path"), F.length("content").cast("long").alias("length"), "content")
+    stored = in_file_order(with_layout(named)).select("image_id", "path", "length", "content")
+    return _listed(in_linear_order(with_layout(stored)))
+
+
+def q46_hierarchical_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Files of hierarchical images and the bytes they hold, through directory blocks and free maps."""
+    return _listed(_hierarchical(spark, d, 1280))
+
+
 def q46b_hierarchical_map(spark: SparkSession, d: str) -> DataFrame:
     """Free sectors by the free map, and what is wrong with the map (nothing)."""
     files = bridge.entries(spark, d).select("image_id", "name", F.lit("WR").alias("flags"), "load", F.lit(0).alias("exec"), "length", _file_bytes("length").alias("data"))
@@ -87,7 +102,7 @@ def q48_archive_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("archive").cast("long").alias("archive"), "filename", "source", "meta.load", "meta.attr", "meta.filetype")
 
 
-QUERIES |= {"q46_hierarchical_roundtrip": q46_hierarchical_roundtrip, "q46b_hierarchical_map": q46b_hierarchical_map, "q47_server_objects": q47_server_objects, "q48_archive_scan": q48_archive_scan}
+QUERIES |= {"q46c_two_sided_roundtrip": q46c_two_sided_roundtrip, "q46_hierarchical_roundtrip": q46_hierarchical_roundtrip, "q46b_hierarchical_map": q46b_hierarchical_map, "q47_server_objects": q47_server_objects, "q48_archive_scan": q48_archive_scan}
 QUERIES |= {"q45_image_roundtrip": q45_image_roundtrip, "q45b_image_info": q45b_image_info}
 ORACLE_SQL["q45_image_roundtrip"] = f"""
 WITH {bridge.SQL_ENTRIES}
@@ -101,6 +116,7 @@ _BYTES = "md5(substr(repeat(md5(CAST(p_partkey AS VARCHAR)), CAST(ceil({0} / 32.
 ORACLE_SQL["q46_hierarchical_roundtrip"] = f"""
 WITH {bridge.SQL_ENTRIES}
 SELECT image_id, '$.' || name AS path, CASE WHEN locked THEN 'LRW' ELSE 'RWr' END AS flags, load, p_partkey % 65536 AS exec, length, {_BYTES.format("length")} AS data_md5 FROM e"""
+ORACLE_SQL["q46c_two_sided_roundtrip"] = ORACLE_SQL["q46_hierarchical_roundtrip"]
 ORACLE_SQL["q46b_hierarchical_map"] = f"""
 WITH {bridge.SQL_ENTRIES}
 SELECT image_id, 'BRIDGE' AS title, CAST(1280 AS BIGINT) AS total_sectors, CAST(7 AS BIGINT) AS disc_id, CAST(2 AS BIGINT) AS boot_option,

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platterlake.functions.numbers import SECTOR, bytes_le
+from platterlake.functions.numbers import SECTOR, byte_at, bytes_le
 from platterlake.functions.text import padded
 from platterlake.operators.space import old_map_checksum
 
@@ -25,7 +25,7 @@ def dfs_images(files: DataFrame, discs: DataFrame) -> DataFrame:
 
     files: image_id, ordinal, name, directory, locked, load, exec, length, start_sector, data; discs: image_id, title,
     cycle, boot_option, total_sectors. Files lie where start_sector says, which must leave no overlap; images of
-    more than 31 files are left out. The catalogue lists files in the order of `ordinal`.
+    more than 31 files are issues (`too_many_files`). The catalogue lists files in the order of `ordinal`.
     """
     names = F.concat(padded(F.col("name"), 7), _byte(F.ascii("directory") + F.when(F.col("locked"), 128).otherwise(0)))
     field = lambda c, low, mask: F.shiftright(c, low).bitwiseAND(F.lit(mask))
@@ -79,6 +79,20 @@ def adfs_free_map(discs: DataFrame) -> DataFrame:
     return discs.select("image_id", F.concat(summed(zero), summed(one)).alias("sectors"))
 
 
+def too_many_files(files: DataFrame, most: int, key: str = "image_id") -> DataFrame:
+    """(image, code, detail) of images whose files a catalogue (31) or directory (47) can't hold; such images aren't built."""
+    many = files.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    return many.select(key, F.lit("too-many-files").alias("code"), F.col("n").cast("string").alias("detail"))
+
+
+def with_title(images: DataFrame, title: Column, boot_option: Column) -> DataFrame:
+    """Flat images with another title (12 characters) and boot option (0 to 3) in their catalogue's header."""
+    c, shown = F.col("content"), padded(title, 12)
+    boot = byte_at(c, 0x106).bitwiseAND(F.lit(0xCF)).bitwiseOR(F.shiftleft(boot_option.bitwiseAND(F.lit(3)), 4).cast("long"))
+    head = F.concat(shown.substr(F.lit(1), F.lit(8)), c.substr(F.lit(9), F.lit(248)), shown.substr(F.lit(9), F.lit(4)))
+    return images.withColumn("content", F.concat(head, c.substr(F.lit(0x105), F.lit(2)), _byte(boot), c.substr(F.lit(0x108), F.length(c))))
+
+
 def patched(images: DataFrame, patches: DataFrame) -> DataFrame:
     """Images with sector patches (image_id, lba, data) put over them, in new rows: the input stays as it is."""
     by_image = patches.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("lba", "data"))).alias("patches"))
@@ -92,26 +106,26 @@ def patched(images: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def write_files(rows: DataFrame, folder: str, path: str = "path", data: str = "data") -> None:
-    """Each row's bytes as a file below a folder that all executors mount; written aside and renamed, so a retried task is harmless."""
+    """Each row's bytes as a file below a folder, a path or the URI of a store that all executors reach.
+
+    Written aside under the task's name and moved, so a retried task is harmless.
+    """
 
     def save(part: Iterator) -> None:
+        store, base = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
         for row in part:
-            target = os.path.join(folder, row[0])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            aside = f"{target}.{os.getpid()}.part"
-            with open(aside, "wb") as f:
+            target = f"{base}/{row[0]}"
+            store.create_dir(target.rpartition("/")[0], recursive=True)
+            aside = f"{target}.{TaskContext.get().taskAttemptId()}.part"
+            with store.open_output_stream(aside) as f:
                 f.write(bytes(row[1]))
-            os.replace(aside, target)
+            store.move(aside, target)
 
     rows.select(path, data).foreachPartition(save)
 
 
-def preview(rows: DataFrame, n: int = 20) -> pd.DataFrame:
-    return rows.limit(n).toPandas()
-
-
 def adfs_images(files: DataFrame, discs: DataFrame) -> DataFrame:
-    """(image_id, content) of hierarchical images with all files in the root directory, 47 at most.
+    """(image_id, content) of hierarchical images, in linear order, with all files in the root directory; of more than 47: issues (`too_many_files`).
 
     files: image_id, name, flags, load, exec, length, data; discs: image_id, title, disc_id, boot_option, total_sectors.
     Files lie one behind the other from sector 7, in the order of their names.

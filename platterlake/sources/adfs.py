@@ -1,9 +1,15 @@
-"""Hierarchical discs: the free map and one directory block as built-in expressions, the tree level by level."""
+"""Hierarchical discs: the free map as built-in expressions; directories are followed in the task that holds the image.
+
+Content is in linear order (`sources.images.in_linear_order`).
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import struct
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +20,7 @@ from platterlake.operators.space import old_map_checksum
 #: Directory block size and entry size, entries at most, first sector of the root, signatures.
 DIR_BYTES, ENTRY_BYTES, MAX_ENTRIES, ROOT_SECTOR = 1280, 26, 47, 2
 SIGNATURES = ("Hugo", "Nick")
+TAIL_NAME = 0x4FB
 #: Attributes in the top bits of a name's characters, in order.
 ATTRIBUTES = ("R", "W", "L", "D", "E", "r", "w", "e", "P")
 
@@ -63,46 +70,89 @@ def map_issues(images: DataFrame) -> DataFrame:
     return images.select("image_id", F.explode(F.array_compact(checks)).alias("code"))
 
 
-def directory_entries(blocks: DataFrame) -> DataFrame:
-    """Entries of directory blocks (image_id, parent_id, block); a block without signature has none."""
-    block = F.col("block")
-    signed = block.substr(F.lit(2), F.lit(4)).cast("string").isin(*SIGNATURES)
-    ends = F.filter(F.sequence(F.lit(0), F.lit(MAX_ENTRIES)), lambda i: byte_at(block, i * ENTRY_BYTES + 5) == 0)
-    n = F.coalesce(F.get(ends, 0), F.lit(MAX_ENTRIES))
-    rows = blocks.where(signed).withColumn("ordinal", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
-    at = F.col("ordinal") * ENTRY_BYTES + 5
-    chars = [byte_at(block, at + k) for k in range(10)]
-    plain = F.concat(*[F.chr(c.bitwiseAND(F.lit(0x7F))) for c in chars])
-    flags = [F.when(c >= 128, F.lit(letter)).otherwise("") for c, letter in zip(chars, ATTRIBUTES, strict=False)]
-    return rows.select(
-        "image_id",
-        "parent_id",
-        "ordinal",
-        F.regexp_replace(F.regexp_replace(plain, r"[\r\x00].*$", ""), r"\s+$", "").alias("name"),
-        F.concat(*flags).alias("flags"),
-        (chars[3] >= 128).alias("is_dir"),
-        uint_le(block, at + 10, 4).alias("load"),
-        uint_le(block, at + 14, 4).alias("exec"),
-        uint_le(block, at + 18, 4).alias("length"),
-        uint_le(block, at + 22, 3).alias("start_sector"),
-        byte_at(block, at + 25).alias("seq"),
-    )
-
-
-def entries(images: DataFrame, max_depth: int = 8) -> DataFrame:
-    """All entries of all directories, with id (the path) and parent_id; the root's children have parent `$`.
-
-    Directories are followed level by level within each image's row, so images aren't shuffled: each level's
-    blocks are cut from the content that the level above carries. Deeper levels than `max_depth` are left out.
-    """
-    level = images.select("image_id", F.lit("$").alias("parent_id"), "content", _content(ROOT_SECTOR * SECTOR, DIR_BYTES).alias("block"))
+def read_directory(block: bytes) -> tuple[list[dict], str | None]:
+    """Entries of a directory block in stored order, or what is wrong with it."""
+    if len(block) < DIR_BYTES:
+        return [], "short-directory"
+    if block[1:5].decode("latin-1") not in SIGNATURES:
+        return [], "bad-signature"
+    if block[TAIL_NAME : TAIL_NAME + 4] != block[1:5]:
+        return [], "tail-differs"
+    if block[TAIL_NAME - 1] != block[0]:
+        return [], "broken-directory"
+    if block[TAIL_NAME + 4]:
+        return [], "check-byte"
     found = []
-    for _ in range(max_depth):
-        listed = directory_entries(level.withColumn("image_id", F.struct("image_id", "content"))).select("image_id.*", "parent_id", "ordinal", "name", "flags", "is_dir", "load", "exec", "length", "start_sector", "seq")
-        listed = listed.withColumn("id", F.concat_ws(".", "parent_id", "name"))
-        found.append(listed.drop("content"))
-        level = listed.where("is_dir").select("image_id", F.col("id").alias("parent_id"), "content", _content(F.col("start_sector") * SECTOR, DIR_BYTES).alias("block"))
-    return reduce(DataFrame.unionByName, found)
+    for ordinal in range(MAX_ENTRIES):
+        at = ordinal * ENTRY_BYTES + 5
+        if not block[at]:
+            break
+        letters = block[at : at + 10]
+        load, exec_, length, start = struct.unpack_from("<III3s", block, at + 10)
+        name = bytes(c & 0x7F for c in letters).decode("latin-1")
+        flags = "".join(flag for c, flag in zip(letters, ATTRIBUTES, strict=False) if c & 0x80)
+        found.append(
+            {
+                "ordinal": ordinal,
+                "name": re.split(r"[\r\x00]", name)[0].rstrip(),
+                "flags": flags,
+                "is_dir": "D" in flags,
+                "load": load,
+                "exec": exec_,
+                "length": length,
+                "start_sector": int.from_bytes(start, "little"),
+                "seq": block[at + 25],
+            }
+        )
+    return found, None
+
+
+def walk_tree(content: bytes) -> Iterator[dict]:
+    """All entries, parents first and to any depth; a row with `issue` for a directory that can't be followed."""
+    todo = [("$", ROOT_SECTOR)]
+    seen = set()
+    while todo:
+        path, sector = todo.pop()
+        if sector in seen:
+            yield {"id": path, "issue": "directory-cycle"}
+            continue
+        seen.add(sector)
+        listed, wrong = read_directory(content[sector * SECTOR : sector * SECTOR + DIR_BYTES])
+        if wrong:
+            yield {"id": path, "issue": wrong}
+        for e in listed:
+            inside = f"{path}.{e['name']}"
+            yield {"parent_id": path, "id": inside, **e}
+        todo += [(f"{path}.{e['name']}", e["start_sector"]) for e in reversed(listed) if e["is_dir"]]
+
+
+_FIELDS = "parent_id string, ordinal int, name string, flags string, is_dir boolean, load bigint, exec bigint, length bigint, start_sector bigint, seq bigint, id string, issue string"
+
+
+def tree(images: DataFrame) -> DataFrame:
+    """Entries and issues of each image (image_id, content in linear order), read in the task that holds the image."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                rows = list(walk_tree(batch.column(1)[i].as_py() or b""))
+                columns = [pa.array([r.get(name) for r in rows], kind) for name, kind in zip(names, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows), pa.int64())), *columns], ["image_id", *names])
+
+    names = [f.split()[0] for f in _FIELDS.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "bigint": pa.int64()}
+    kinds = [types[f.split()[1]] for f in _FIELDS.split(", ")]
+    return images.select("image_id", "content").mapInArrow(read, f"image_id {images.schema['image_id'].dataType.simpleString()}, {_FIELDS}")
+
+
+def entries(images: DataFrame) -> DataFrame:
+    """All entries of all directories, with id (the path) and parent_id; the root's children have parent `$`."""
+    return tree(images).where("issue is null").drop("issue")
+
+
+def tree_issues(images: DataFrame) -> DataFrame:
+    """(image_id, path, code) of directories that can't be read: signatures, sequence numbers, check byte, cycles."""
+    return tree(images).where("issue is not null").select("image_id", F.col("id").alias("path"), F.col("issue").alias("code"))
 
 
 def read_files(images: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ FORMATS = [
     ("adfs-m", "adfs", 327680, 1, 80, 16, False),
     ("adfs-l", "adfs", 655360, 2, 80, 16, True),
 ]
+TWO_SIDED_BYTES = 655360
 
 
 def read_images(spark: SparkSession, path: str, pattern: str = "*.{ssd,dsd,adf,adl,dat,dsc}") -> DataFrame:
@@ -67,6 +70,29 @@ def expanded(images: DataFrame) -> DataFrame:
     return images.withColumn("content", F.rpad("content", F.col("full_bytes").cast("int"), F.lit(b"\x00"))).withColumn("added", missing)
 
 
+def in_linear_order(images: DataFrame) -> DataFrame:
+    """Two-sided hierarchical floppies with side 1 behind side 0; their files hold a track of each in turn. Others stay.
+
+    The readers of hierarchical discs and of partitions count sectors in this order.
+    """
+    return images.withColumn("content", F.when(_is_two_sided(), _tracks(lambda side, track: 2 * track + side)).otherwise(F.col("content")))
+
+
+def in_file_order(images: DataFrame) -> DataFrame:
+    """The reverse: images as their files hold them, from linear content."""
+    return images.withColumn("content", F.when(_is_two_sided(), _tracks(lambda side, track: 80 * side + track, by_side=False)).otherwise(F.col("content")))
+
+
+def _is_two_sided() -> Column:
+    return (F.col("fs") == "adfs") & (F.col("sides") == 2) & (F.length("content") == TWO_SIDED_BYTES)
+
+
+def _tracks(place: Callable[[int, int], int], by_side: bool = True) -> Column:
+    size = 16 * SECTOR
+    order = [(s, t) for s in range(2) for t in range(80)] if by_side else [(s, t) for t in range(80) for s in range(2)]
+    return F.concat(*[F.col("content").substr(F.lit(place(s, t) * size + 1), F.lit(size)) for s, t in order])
+
+
 def surfaces(images: DataFrame) -> DataFrame:
     """A row for each side that has a catalogue of its own: (..., side, offset0, stride); only flat images have two."""
     sides = F.when(F.col("fs") == "dfs", F.col("sides")).otherwise(1)
@@ -104,11 +130,6 @@ def range_bytes(start: Column, length: Column) -> Column:
     return F.when(length > 0, F.aggregate(tracks, F.lit(b""), add).substr(F.lit(1), length.cast("int"))).otherwise(F.lit(b""))
 
 
-def locate_unified(side_sectors: int, lba: Column) -> Column:
-    """struct<side, lba> of a sector number that runs on over the sides."""
-    return F.struct(F.floor(lba / side_sectors).cast("int").alias("side"), (lba % side_sectors).alias("lba"))
-
-
 def parse_geometry(content: Column) -> Column:
     """struct<cylinders, heads, spt, capacity> of a 22-byte geometry sidecar; null where it is shorter."""
     from platterlake.functions.numbers import byte_at, uint_be

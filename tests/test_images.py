@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from platterlake.sinks.export import with_metadata
 from platterlake.sinks.images import patched, write_files
 from platterlake.sinks.server import build_partition, server_images
-from platterlake.sources import afs, archives, dfs
-from platterlake.sources.images import expanded, filing_system, parse_geometry, surfaces, with_layout
+from platterlake.sources import adfs, afs, archives, dfs
+from platterlake.sources.images import expanded, filing_system, in_file_order, in_linear_order, parse_geometry, surfaces, with_layout
 
 
 def image_rows(spark, rows):
@@ -117,3 +117,81 @@ def test_export_writes_sidecars(spark, tmp_path):
     assert (tmp_path / "d/F.inf").read_text() == "F           00001900 00008023 00000002 03\n"
     named = {r["path"] for r in with_metadata(files, "filename-mos").collect()}
     assert named == {"d/F,1900-8023", "d/G"}
+
+
+# --- hierarchical images made byte by byte, without the library's sinks -----------------------------------------
+
+
+def hierarchical(total, files, linear=True):
+    """Content of a disc in linear order: free map, root at sector 2, directories and files given by (path, data or None) behind it."""
+    content = bytearray(total * 256)
+    content[0xFC:0xFF] = total.to_bytes(3, "little")
+    free, dirs, at = 7, {"$": (2, "$", 2)}, 7
+    listed = {"$": []}
+    for path, data in files:
+        parent, _, name = path.rpartition(".")
+        if data is None:
+            dirs[path] = (at, name, dirs[parent][0])
+            listed[path] = []
+            size, sectors = 1280, 5
+        else:
+            size, sectors = len(data), -(-len(data) // 256)
+            content[at * 256 : at * 256 + size] = data
+        listed[parent].append((name, data is None, size, at))
+        at += sectors
+    for path, (sector, name, parent) in dirs.items():
+        block = bytearray(1280)
+        block[0], block[1:5] = 9, b"Hugo"
+        for k, (entry, is_dir, size, start) in enumerate(sorted(listed[path])):
+            row = bytearray(entry.encode().ljust(10, b"\r"))
+            row[0] |= 0x80  # readable
+            row[3] |= 0x80 * is_dir
+            row += (0x1900).to_bytes(4, "little") + (0x8023).to_bytes(4, "little") + size.to_bytes(4, "little") + start.to_bytes(3, "little") + b"\x05"
+            block[5 + 26 * k : 31 + 26 * k] = row
+        block[0x4CC:0x4D6] = name.encode().ljust(10, b"\r")
+        block[0x4D6:0x4D9] = parent.to_bytes(3, "little")
+        block[0x4FA], block[0x4FB:0x4FF] = 9, b"Hugo"
+        content[sector * 256 : sector * 256 + 1280] = block
+    assert free and at <= total
+    return bytes(content)
+
+
+def in_turn(linear):
+    """Side 0 and side 1, a track of each in turn, as a two-sided floppy's file holds them."""
+    half, track = len(linear) // 2, 4096
+    return b"".join(linear[side * half + t * track : side * half + (t + 1) * track] for t in range(80) for side in range(2))
+
+
+def test_hierarchical_images_of_every_size(spark):
+    big = bytes(range(256)) * 1400  # reaches over the end of side 0 of the largest floppy
+    files = [("$.Dir", None), ("$.Dir.Sub", None), ("$.Dir.Sub.Deep", b"deep" * 100), ("$.Empty", b""), ("$.One", b"1")]
+    rows = []
+    for name, total, more in (("s.adf", 640, []), ("m.adf", 1280, []), ("l.adl", 2560, [("$.Big", big)]), ("h.dat", 33 * 100, [("$.Big", big)])):
+        content = hierarchical(total, files + more)
+        rows.append((name, name, len(content), in_turn(content) if name == "l.adl" else content))
+    images = in_linear_order(with_layout(image_rows(spark, rows)))
+    found = adfs.read_files(images, adfs.entries(images)).collect()
+    expected = dict(files + [("$.Big", big)])
+    for name, *_ in rows:
+        own = {r["id"]: bytes(r["data"]) for r in found if r["image_id"] == name and not r["is_dir"]}
+        assert own == {p: d for p, d in expected.items() if d is not None and (p != "$.Big" or name[0] in "lh")}
+    assert {r["id"] for r in found if r["is_dir"]} == {"$.Dir", "$.Dir.Sub"} and {r["load"] for r in found} == {0x1900}
+    assert adfs.tree_issues(images).collect() == []
+    again = {r["image_id"]: bytes(r["content"]) for r in in_file_order(images).collect()}
+    assert all(again[name] == content for name, _, _, content in rows)
+
+
+def test_directories_of_any_depth_and_damaged_ones(spark):
+    files, path = [], "$"
+    for k in range(40):
+        path += f".D{k}"
+        files.append((path, None))
+    deep = hierarchical(640, [*files, (path + ".F", b"x")])
+    cyclic = bytearray(hierarchical(640, [("$.A", None), ("$.B", None)]))
+    at = 2 * 256 + 5 + 22
+    cyclic[at : at + 3] = (2).to_bytes(3, "little")  # A is the root again
+    cyclic[(12 + 4) * 256 + 0xFF] = 1  # B's check byte
+    images = image_rows(spark, [("deep", "d.adf", len(deep), deep), ("cyclic", "c.adf", len(cyclic), bytes(cyclic))])
+    assert adfs.entries(images.where("image_id = 'deep'")).count() == 41
+    issues = {(r["path"], r["code"]) for r in adfs.tree_issues(images).collect()}
+    assert issues == {("$.A", "directory-cycle"), ("$.B", "check-byte")}

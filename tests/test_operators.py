@@ -169,3 +169,28 @@ def test_scopes_and_emplaced_libraries(spark):
     target = spark.createDataFrame([(1, "$.lib.b")], "image_id long, path string")
     assert rows(copying.emplace(placed, target, "LIB"), "path", "replaced") == [("$.LIB.B", True)]
     assert rows(catalogue.track_overlaps(spark.createDataFrame([(1, 0, 5), (1, 4, 6), (1, 6, 7)], "image_id long, start long, end long")), "start") == [(0,)]
+
+
+def test_paths_of_any_depth_and_cycles(spark):
+    chain = [(1, f"n{k}", f"n{k - 1}" if k else None, f"d{k}", 0, True) for k in range(80)] + [(2, "a", "b", "a", 0, True), (2, "b", "a", "b", 0, True), (3, "r", None, "$", 0, True)]
+    placed = tree.tree_paths(spark.createDataFrame(chain, "image_id long, id string, parent_id string, name string, ordinal int, is_dir boolean")).collect()
+    depths = {r["id"]: (r["depth"], r["path"]) for r in placed}
+    assert depths["n79"] == (79, ".".join(f"d{k}" for k in range(80))) and depths["r"] == (0, "$")
+    assert depths["a"][1] is None and depths["b"][1] is None
+
+
+def test_writes_are_folded_in_order(spark):
+    """Against plain code: refused writes cost nothing, whatever the number of writes."""
+    rng = random.Random(1)
+    left = {f"u{k}": rng.randrange(5_000, 60_000) for k in range(7)}
+    asked = [(rng.choice([*left, "nobody"]), k, rng.randrange(0, 9_000)) for k in range(400)]
+    expected, now = [], dict(left)
+    for u, seq, size in asked:
+        if u in now:
+            data = -(-size // 256)
+            cost = (data + -(-data // 48)) * 256
+            now[u] -= cost if cost <= now[u] else 0
+            expected.append((u, seq, cost, now[u]))
+    got = users.accepted_writes(spark.createDataFrame(list(left.items()), "user string, free_space long"), spark.createDataFrame(asked, "user string, seq long, bytes long")).collect()
+    assert sorted((r["user"], r["seq"], r["cost"], r["balance"]) for r in got) == sorted(expected)
+    assert any(not r["accepted"] for r in got) and any(r["accepted"] for r in got)
