@@ -206,3 +206,28 @@ def _by_joins(rows: DataFrame, counts: DataFrame, order: int) -> DataFrame:
     return texts_.join(told, "row", "left").select(
         "doc_id", "held_out", F.when(F.col("spoken"), F.col("best.lang")).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("spoken"), score).otherwise(0.0).alias("score")
     )
+
+
+ORACLE = r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS s FROM documents),
+crc AS (SELECT doc_id, s, 0 AS pos, 4294967295::BIGINT AS c FROM ids
+  UNION ALL SELECT doc_id, s, pos + 1, list_reduce([xor(c, ascii(substr(s, pos + 1, 1))::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: xor(a >> 1, 3988292384 * (a & 1))) FROM crc WHERE pos < len(s)),
+fold AS (SELECT doc_id, xor(c, 4294967295) % 5 AS fold FROM crc WHERE pos = len(s)),
+d AS (SELECT row_number() OVER () AS r, x.doc_id, text, lang, fold = 0 AS held_out, hex(encode(lower(coalesce(text, '')))) AS h FROM documents x JOIN fold f ON x.doc_id IS NOT DISTINCT FROM f.doc_id),
+p AS (SELECT r, lang, held_out, substr('0A0A0A' || h, 2 * i + 1, 8) AS g FROM (SELECT r, lang, held_out, h, unnest(range(0, len(h) // 2)) AS i FROM d WHERE len(h) > 0)),
+c AS (SELECT lang, g, count(*) AS n FROM p WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+l AS (SELECT lang, k, right(g, 2 * k + 2) AS s, sum(n) AS n FROM c, range(0, 4) q(k) GROUP BY ALL),
+x AS (SELECT lang, k, left(s, 2 * k) AS s, sum(n) AS t, count(*) AS m FROM l GROUP BY ALL),
+w AS (SELECT g, lang FROM (SELECT DISTINCT g FROM p), (SELECT DISTINCT lang FROM c)),
+o AS (SELECT w.g, w.lang, coalesce(max(CASE WHEN l.n IS NOT NULL THEN q.k END), -1) AS hit
+      FROM w JOIN range(0, 4) q(k) ON true LEFT JOIN l ON l.lang = w.lang AND l.k = q.k AND l.s = right(w.g, 2 * q.k + 2) GROUP BY ALL),
+e AS (SELECT o.g, o.lang, sum(CASE WHEN q.k = hit THEN -log2(l.n / (x.t + x.m)) WHEN q.k > hit AND x.t IS NOT NULL THEN -log2(x.m / (x.t + x.m)) ELSE 0 END) + CASE WHEN any_value(hit) < 0 THEN 8 ELSE 0 END AS cost
+      FROM o JOIN range(0, 4) q(k) ON true LEFT JOIN l ON l.lang = o.lang AND l.k = q.k AND l.s = right(o.g, 2 * q.k + 2)
+      LEFT JOIN x ON x.lang = o.lang AND x.k = q.k AND x.s = left(right(o.g, 2 * q.k + 2), 2 * q.k) GROUP BY o.g, o.lang),
+b AS (SELECT r, e.lang, sum(n * cost) AS bits FROM (SELECT r, g, count(*) AS n FROM p GROUP BY ALL) z JOIN e ON z.g = e.g GROUP BY ALL),
+t AS (SELECT b.r, first(lang ORDER BY bits, lang) AS best, sum(pow(2.0, (low - bits) / size)) AS total
+      FROM b JOIN (SELECT r, min(bits) AS low FROM b GROUP BY r) m ON b.r = m.r JOIN (SELECT r, len(h) / 2 AS size FROM d) z ON b.r = z.r GROUP BY b.r)
+SELECT doc_id, held_out, CASE WHEN coalesce(regexp_matches(text, '\p{L}'), false) AND best IS NOT NULL THEN best ELSE 'und' END AS lang_pred,
+       CASE WHEN coalesce(regexp_matches(text, '\p{L}'), false) AND best IS NOT NULL THEN round(1 / total, 6) ELSE 0.0 END AS score
+FROM d LEFT JOIN t ON d.r = t.r
+"""

@@ -234,3 +234,18 @@ def _candidates(starts: np.ndarray, size: np.ndarray, groups: list[int], x: np.n
             found_i, found_j, held = [], [], 0
     if held:
         yield np.concatenate(found_i), np.concatenate(found_j)
+
+
+ORACLE = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93::DOUBLE),
+r AS (SELECT vec_id AS x, vec_id AS root FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON r.x = l.x),
+k AS (SELECT x, min(root) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN k ON k.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id
+"""

@@ -54,7 +54,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify_language(table(spark, sf_dir, "documents"), fold(F.col("doc_id")) != 0)
+    found = langid.identify_language(table(spark, sf_dir, "documents"), fold(F.col("doc_id")) != 0)
+    return found.withColumn("score", F.round("score", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -73,6 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE,
     "op3_benchmark_decontamination": decontam.ORACLE,
+    "op4_suffix_array_dedup": suffixes.ORACLE,
+    "op5_line_dedup": templates.ORACLE,
     "op6_mixing_sources": mixing.ORACLE,
+    "op8_embedding_near_dedup": lattice.ORACLE,
     "op9_ngram_jaccard_join": forest.ORACLE,
+    "op10_language_id": langid.ORACLE,
 }

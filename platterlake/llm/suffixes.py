@@ -293,3 +293,19 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
 def digests(cut: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)),
+f AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS LAST, r, i) AS n FROM w) WHERE n > 1),
+u AS (SELECT r, i, coalesce(max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000) AS prev FROM f),
+g AS (SELECT r, i, sum(CASE WHEN i > prev + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span FROM u),
+s AS (SELECT r, span, min(i) AS low, max(i) + 100 AS high FROM g GROUP BY r, span),
+k AS (SELECT r, low, high, coalesce(max(high) OVER (PARTITION BY r ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after_ FROM s),
+p AS (SELECT k.r, count(*) AS n_spans, sum(high - low) AS n_removed, string_agg(substr(d.h, 2 * after_ + 1, 2 * (low - after_)), '' ORDER BY low) || substr(any_value(d.h), 2 * max(high) + 1) AS kept
+      FROM k JOIN d ON k.r = d.r GROUP BY k.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN p ON d.r = p.r
+"""

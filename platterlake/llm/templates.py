@@ -160,3 +160,31 @@ def drop_recurring_lines(
     own = {id_col: F.col("_doc.id").cast(docs.schema[id_col].dataType), text_col: F.col("_text")}
     passed = [F.col("_kept").getField(c).alias(c) for c in keep if c not in (id_col, text_col)]
     return done.select(*passed, own[id_col].alias("doc_id"), own[text_col].alias("text"), "n_lines", "n_parsed", "n_dropped")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+li AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
+tk AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS raw FROM li),
+mk AS (SELECT *, list_transform(raw, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS m FROM tk),
+w AS (SELECT r, doc_id, line, pos, CASE WHEN len(list_filter(m, lambda x: x <> '<*>')) = 0 THEN raw ELSE m END AS w FROM mk),
+nm AS (SELECT *, array_to_string(w, ' ') AS name FROM w),
+ln AS (SELECT name, any_value(w) AS w, min(doc_id) AS low FROM nm WHERE len(w) > 0 GROUP BY name),
+hd AS (SELECT name, low, w, len(w) AS n, greatest(4, len(w) // 4) AS head FROM ln WHERE len(w) >= 8),
+rn AS (SELECT *, least(6, n - head) AS k FROM hd),
+runs AS (SELECT *, list_transform(range(0, k), lambda j: array_to_string(w[head + (n - head) * j // k + 1 : head + (n - head) * (j + 1) // k], ' ')) AS runs FROM rn),
+ch AS (SELECT a.i, b.i AS j FROM range(0, 6) a(i), range(0, 6) b(i) WHERE a.i <= b.i),
+pa AS (SELECT name, n || '|' || array_to_string(w[1 : head], ' ') || '|' || i || ',' || j || '|' ||
+         array_to_string(list_transform(range(0, k), lambda x: CASE WHEN x = i OR x = j THEN '' ELSE runs[x + 1] END), chr(1)) AS path
+       FROM runs, ch WHERE i < k AND j < k AND CASE WHEN k >= 6 THEN i < j WHEN k >= 3 THEN i = j ELSE false END),
+lk AS (SELECT DISTINCT p.name AS x, q.least AS y FROM pa p JOIN (SELECT path, min(name) AS least FROM pa GROUP BY path HAVING count(*) > 1) q ON p.path = q.path WHERE p.name <> q.least),
+bo AS (SELECT x, y FROM lk UNION SELECT y, x FROM lk),
+rc AS (SELECT x AS name, x AS root FROM bo UNION SELECT b.y, rc.root FROM rc JOIN bo b ON rc.name = b.x),
+tp AS (SELECT name, min(root) AS template FROM rc GROUP BY name),
+t AS (SELECT nm.r, nm.doc_id, nm.line, nm.pos, len(nm.w) > 0 AS parsed, coalesce(tp.template, nm.name) AS template FROM nm LEFT JOIN tp ON nm.name = tp.name),
+f AS (SELECT template, min(doc_id) AS first_doc FROM t WHERE parsed GROUP BY template),
+o AS (SELECT t.*, parsed AND t.doc_id <> first_doc AS gone FROM t LEFT JOIN f ON t.template = f.template),
+g AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept FROM o GROUP BY r)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS text_sha256
+FROM d LEFT JOIN g ON d.r = g.r
+"""
