@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platterlake.llm.shared import written
+
 #: Hex digits of the seeded hash that name a bucket: 4,096 buckets of a source.
 BUCKET_DIGITS = 3
 
@@ -66,7 +68,8 @@ def mix_sources(
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("_hash"),
-    ).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+    )
+    d = written(d).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))  # texts are read once
     buckets = d.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
     deal = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
     sources = (
