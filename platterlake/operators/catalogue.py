@@ -22,6 +22,25 @@ def lookup(entries: DataFrame, wanted: DataFrame, key: str = KEY) -> DataFrame:
     return named.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_path")
 
 
+def states(nodes: DataFrame, wanted: DataFrame, key: str = KEY) -> DataFrame:
+    """(image, path, found, is_dir, is_file) of each wanted path (any case)."""
+    here = nodes.groupBy(key, F.upper("path").alias("_path")).agg(F.bool_or("is_dir").alias("_dir"))
+    joined = wanted.select(key, "path").distinct().withColumn("_path", F.upper("path")).join(here, [key, "_path"], "left")
+    found = F.col("_dir").isNotNull()
+    return joined.select(key, "path", found.alias("found"), F.coalesce("_dir", F.lit(False)).alias("is_dir"), (found & ~F.coalesce("_dir", F.lit(True))).alias("is_file"))
+
+
+def make_dirs(nodes: DataFrame, wanted: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
+    """(directories to add, issues): the wanted paths and all above them that aren't there; a file in the way is an issue."""
+    parts = F.split("path", r"\.")
+    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    all_paths = wanted.select(key, F.explode(chain).alias("path")).withColumn("_path", F.upper("path")).dropDuplicates([key, "_path"])
+    here = nodes.groupBy(key, F.upper("path").alias("_path")).agg(F.bool_or("is_dir").alias("_dir"))
+    joined = all_paths.join(here, [key, "_path"], "left")
+    issues = joined.where(~F.col("_dir")).select(key, F.lit("file-in-the-way").alias("code"), "path", F.lit(None).cast("string").alias("detail"))
+    return joined.where("_dir is null").select(key, "path", F.lit(True).alias("is_dir")), issues
+
+
 def duplicate_names(entries: DataFrame, key: str = KEY) -> DataFrame:
     return entries.groupBy(key, F.upper("path").alias("path")).agg(F.count("ordinal").alias("copies")).where("copies > 1")
 

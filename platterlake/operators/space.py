@@ -38,6 +38,13 @@ def first_fit(regions: DataFrame, need: Column, key: str = "image_id") -> DataFr
     return regions.where(F.col("length") >= need).groupBy(key).agg(F.min("start_sector").alias("start_sector"))
 
 
+def first_fit_issues(regions: DataFrame, images: DataFrame, need: Column, key: str = "image_id") -> DataFrame:
+    """(image, code, detail) of images without a run that holds `need` sectors."""
+    largest = regions.groupBy(key).agg(F.max("length").alias("_most"))
+    joined = images.select(key).distinct().join(largest, key, "left").where(F.coalesce("_most", F.lit(0)) < need)
+    return joined.select(key, F.lit("no-space").alias("code"), F.coalesce("_most", F.lit(0)).cast("string").alias("detail"))
+
+
 def merge_free(regions: DataFrame, freed: DataFrame, key: str = "image_id") -> DataFrame:
     """Free runs with newly freed ones, neighbours made one."""
     return coalesce_runs(regions.select(key, "start_sector", "length").unionByName(freed.select(key, "start_sector", "length")), key)

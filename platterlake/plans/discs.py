@@ -11,10 +11,10 @@ from platterlake.operators import catalogue, copying, space, tree, users
 from platterlake.plans import bridge
 from platterlake.plans.bridge import table
 from platterlake.plans.catalogue import Query
-from platterlake.plans.images import _images, _read
-from platterlake.sinks.images import too_many_files, with_title
-from platterlake.sources import adfs, afs, dfs
-from platterlake.sources.images import cylinders_for, parse_geometry, sectors, surfaces, with_layout
+from platterlake.plans.images import _hierarchical, _images, _read
+from platterlake.sinks.images import too_many_files, with_map_boot, with_title
+from platterlake.sources import adfs, afs, dfs, hosts
+from platterlake.sources.images import cylinders_for, filing_system, parse_geometry, prefix_issue, sectors, surfaces, with_layout
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -190,3 +190,54 @@ def q77_without_subtrees(spark: SparkSession, d: str) -> DataFrame:
     """The tree without two named directories and all below them."""
     named = spark.createDataFrame([("asia",), ("France",)], "name string")
     return tree.without_subtrees(tree.tree_paths(bridge.tree(spark, d)), named).where("depth > 0").select("id", "path")
+
+
+@query("""WITH i AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'dfs' WHEN 1 THEN 'adfs' WHEN 2 THEN 'adfs' END AS fs, CASE (p_partkey // 4) % 3 WHEN 0 THEN 'dfs' WHEN 1 THEN 'adfs' ELSE 'afs' END AS wanted FROM part)
+  SELECT p_partkey, wanted, CASE WHEN fs IS NULL THEN 'unknown-extension' WHEN wanted = 'dfs' AND fs <> 'dfs' THEN 'not-flat' WHEN wanted <> 'dfs' AND fs = 'dfs' THEN 'flat-image' END AS issue FROM i""")
+def q78_prefix_compatibility(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("a."), F.element_at(F.array(*map(F.lit, ("DSD", "adl", "dat", "txt"))), (k % 4 + 1).cast("int")))
+    wanted = F.element_at(F.array(*map(F.lit, ("dfs", "adfs", "afs"))), (F.floor(k / 4) % 3 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", wanted.alias("wanted"), prefix_issue(wanted, filing_system(path)).alias("issue"))
+
+
+@query("""WITH f AS (SELECT CAST(p_size AS BIGINT) AS image_id, p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'a/F' || p_partkey || ',fff' WHEN 1 THEN 'b/c/F' || p_partkey WHEN 2 THEN 'F' || p_partkey || '.INF' WHEN 3 THEN 'a/.x/F' ELSE 'F' || p_partkey END AS path FROM part),
+  p AS (SELECT image_id, path, CASE k % 5 WHEN 0 THEN '$.a' WHEN 1 THEN '$.b.c' ELSE '$' END AS directory, CASE k % 5 WHEN 0 THEN '$.a.F' || k WHEN 1 THEN '$.b.c.F' || k ELSE '$.F' || k END AS target FROM f WHERE k % 5 NOT IN (2, 3))
+  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY string_split(path, '/')) AS step FROM p""")
+def q79_import_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Where the files of host folders go, without hidden ones and sidecars."""
+    k = F.col("p_partkey").cast("string")
+    named = F.element_at(F.array(F.concat(F.lit("a/F"), k, F.lit(",fff")), F.concat(F.lit("b/c/F"), k), F.concat(F.lit("F"), k, F.lit(".INF")), F.lit("a/.x/F"), F.concat(F.lit("F"), k)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    files = table(spark, d, "part").select(F.col("p_size").cast("long").alias("image_id"), named.alias("path"))
+    return hosts.import_plan(files, flat=False)
+
+
+@query(f"""WITH RECURSIVE {bridge.SQL_TREE}, w AS (SELECT lower(path) AS path FROM t UNION SELECT '$.none' UNION SELECT '$.asia.x')
+  SELECT CAST(0 AS BIGINT) AS image_id, w.path, t.id IS NOT NULL AS found, coalesce(t.is_dir, false) AS is_dir, coalesce(NOT t.is_dir, false) AS is_file FROM w LEFT JOIN t ON upper(t.path) = upper(w.path)""")
+def q80_path_states(spark: SparkSession, d: str) -> DataFrame:
+    placed = tree.tree_paths(bridge.tree(spark, d))
+    wanted = placed.select("image_id", F.lower("path").alias("path")).unionByName(spark.createDataFrame([(0, "$.none"), (0, "$.asia.x")], "image_id long, path string"))
+    return catalogue.states(placed, wanted)
+
+
+@query(f"""WITH RECURSIVE {bridge.SQL_TREE}, w AS (SELECT path || '.NEW' AS path FROM t WHERE depth = 1 UNION ALL SELECT path || '.NEW.DEEP' FROM t WHERE depth = 1)
+  SELECT CAST(0 AS BIGINT) AS image_id, path, true AS is_dir FROM w""")
+def q81_make_directories(spark: SparkSession, d: str) -> DataFrame:
+    """Directories two levels below each region, with those above them."""
+    placed = tree.tree_paths(bridge.tree(spark, d))
+    return catalogue.make_dirs(placed, placed.where("depth = 1").select("image_id", F.concat("path", F.lit(".NEW.DEEP")).alias("path")))[0]
+
+
+@query(f"""WITH {bridge.SQL_FREE}, m AS (SELECT e.image_id, coalesce(max(f.length), 0) AS most FROM (SELECT DISTINCT image_id FROM e) e LEFT JOIN f USING (image_id) GROUP BY e.image_id)
+  SELECT image_id, 'no-space' AS code, CAST(most AS VARCHAR) AS detail FROM m WHERE most < 500""")
+def q82_first_fit_issues(spark: SparkSession, d: str) -> DataFrame:
+    e = bridge.entries(spark, d)
+    return space.first_fit_issues(space.free_map(e, bridge.totals(e)), e, F.lit(500))
+
+
+@query(f"""WITH {bridge.SQL_ENTRIES} SELECT image_id, CAST(image_id % 4 AS BIGINT) AS boot_option, CAST(0 AS BIGINT) AS issues FROM e GROUP BY image_id""")
+def q83_set_map_boot(spark: SparkSession, d: str) -> DataFrame:
+    """Boot options put into free maps, whose checksums hold."""
+    changed = with_map_boot(_hierarchical(spark, d, 1280), F.col("image_id") % 4)
+    wrong = adfs.map_issues(changed).groupBy("image_id").agg(F.count("code").alias("issues"))
+    return adfs.disc_info(changed).select("image_id", "boot_option").join(wrong, "image_id", "left").withColumn("issues", F.coalesce("issues", F.lit(0)))

@@ -93,6 +93,14 @@ def with_title(images: DataFrame, title: Column, boot_option: Column) -> DataFra
     return images.withColumn("content", F.concat(head, c.substr(F.lit(0x105), F.lit(2)), _byte(boot), c.substr(F.lit(0x108), F.length(c))))
 
 
+def with_map_boot(images: DataFrame, boot_option: Column) -> DataFrame:
+    """Hierarchical images with another boot option in their free map, whose second checksum follows."""
+    c = F.col("content")
+    sector = F.concat(c.substr(F.lit(257), F.lit(253)), _byte(boot_option.bitwiseAND(F.lit(3))), c.substr(F.lit(511), F.lit(1)))
+    changed = images.withColumn("_sector", sector)
+    return changed.withColumn("content", F.concat(c.substr(F.lit(1), F.lit(256)), "_sector", _byte(old_map_checksum(F.col("_sector"))), c.substr(F.lit(513), F.length(c)))).drop("_sector")
+
+
 def patched(images: DataFrame, patches: DataFrame) -> DataFrame:
     """Images with sector patches (image_id, lba, data) put over them, in new rows: the input stays as it is."""
     by_image = patches.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("lba", "data"))).alias("patches"))

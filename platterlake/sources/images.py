@@ -41,6 +41,11 @@ def filing_system(path: Column) -> Column:
     return F.when(extension(path).isin("ssd", "dsd"), "dfs").when(extension(path).isin("adf", "adl", "dat"), "adfs")
 
 
+def prefix_issue(requested: Column, detected: Column) -> Column:
+    """What forbids reading an image of one filing system as another; null where nothing does. Partitions lie on hierarchical discs."""
+    return F.when(detected.isNull(), "unknown-extension").when((requested == "dfs") & (detected != "dfs"), "not-flat").when(requested.isin("adfs", "afs") & (detected == "dfs"), "flat-image")
+
+
 def with_layout(images: DataFrame) -> DataFrame:
     """The images with fs, sides, tracks, spt and the bytes an untruncated image has; issues have a code.
 
@@ -93,11 +98,16 @@ def _tracks(place: Callable[[int, int], int], by_side: bool = True) -> Column:
     return F.concat(*[F.col("content").substr(F.lit(place(s, t) * size + 1), F.lit(size)) for s, t in order])
 
 
-def surfaces(images: DataFrame) -> DataFrame:
-    """A row for each side that has a catalogue of its own: (..., side, offset0, stride); only flat images have two."""
+def surfaces(images: DataFrame, sequential: bool = False) -> DataFrame:
+    """A row for each side that has a catalogue of its own: (..., side, offset0, stride); only flat images have two.
+
+    Sides alternate by track, or follow one another whole where `sequential`.
+    """
     sides = F.when(F.col("fs") == "dfs", F.col("sides")).otherwise(1)
     out = images.withColumn("side", F.explode(F.sequence(F.lit(0), sides - 1)))
     track = F.col("spt") * SECTOR
+    if sequential:
+        return out.withColumn("offset0", F.col("side") * F.col("tracks") * track).withColumn("stride", track)
     return out.withColumn("offset0", F.col("side") * track).withColumn("stride", track * F.when(F.col("fs") == "dfs", F.col("sides")).otherwise(1))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from platterlake.sinks.export import with_metadata
 from platterlake.sinks.images import patched, write_files
 from platterlake.sinks.server import build_partition, server_images
-from platterlake.sources import adfs, afs, archives, dfs
+from platterlake.sources import adfs, afs, archives, dfs, hosts
 from platterlake.sources.images import expanded, filing_system, in_file_order, in_linear_order, parse_geometry, surfaces, with_layout
 
 
@@ -195,3 +195,21 @@ def test_directories_of_any_depth_and_damaged_ones(spark):
     assert adfs.entries(images.where("image_id = 'deep'")).count() == 41
     issues = {(r["path"], r["code"]) for r in adfs.tree_issues(images).collect()}
     assert issues == {("$.A", "directory-cycle"), ("$.B", "check-byte")}
+
+
+def test_sides_one_after_the_other(spark):
+    image = bytearray(204800)
+    image[:512], image[102400:102912] = flat_catalogue(b"ZERO"), flat_catalogue(b"ONE")
+    catalogued = dfs.identify(surfaces(with_layout(image_rows(spark, [("i", "i.dsd", len(image), bytes(image))])), sequential=True))
+    assert {r["side"]: r["title"].rstrip("\0") for r in dfs.disc_info(catalogued).collect()} == {0: "ZERO", 1: "ONE"}
+
+
+def test_host_folders(spark, tmp_path):
+    for name in ("a/F,fff", "a/F.inf", "b/c/G", "H", ".hidden"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    files = hosts.host_tree(spark, str(tmp_path)).withColumn("image_id", F.lit(1))
+    got = [(r["path"], r["target"]) for r in hosts.import_plan(files, flat=False).orderBy("step").collect()]
+    assert got == [("H", "$.H"), ("a/F,fff", "$.a.F"), ("b/c/G", "$.b.c.G")]
+    assert {r["target"] for r in hosts.import_plan(files, flat=True).collect()} == {"$.H", "$.F", "$.G"}
+    assert {bytes(r["data"]) for r in files.where("path = 'H'").collect()} == {b"H"}
