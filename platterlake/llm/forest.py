@@ -3,7 +3,8 @@
 A signature holds, for each tree of the forest, a string of MinHash values; the tree is the sorted trie of those
 strings. Two sets of Jaccard similarity s share a prefix of length d in a tree with probability s^d, so the
 matched prefix is shortened from the full depth until the probability of sharing one in some tree reaches the
-target recall at the threshold. Sets below one prefix meet in blocks of bounded size. There, pairs whose
+target recall at the threshold. That length holds for all sets: one chosen for each set by how crowded its prefixes are
+loses links, as the trees in which a set is alone are those in which its partner isn't. Sets below one prefix meet in blocks of bounded size. There, pairs whose
 signatures show them to be far apart are passed over, each other pair is taken in the first tree where it meets,
 and its Jaccard similarity is computed from the texts. Only counts and one link per set leave a block.
 """

@@ -384,6 +384,22 @@ def test_prefixes_shorten_until_the_recall_is_reached():
     assert forest.prefix_depth(0.5, 4, 6, 0.9999999) == 1
 
 
+def test_recall_of_pairs_near_the_threshold(spark):
+    """Many pairs of similarity 0.80 to 0.83 among sets that share boilerplate: each is found."""
+    rng = random.Random(5)
+    page = words(rng, 40, 10**6).split()
+    rows = []
+    for k in range(150):
+        own = words(rng, 160, 10**6).split()
+        other = list(own)
+        for at in rng.sample(range(0, 150, 5), 4):
+            other[at + 2] = f"x{rng.randrange(10**9)}"
+        rows += [(2 * k, " ".join(page + own)), (2 * k + 1, " ".join(page + other))]
+    got = forest.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_links", "component_id", "kept").collect()
+    truth = brute_near(rows)
+    assert sorted(map(tuple, got)) == truth and sum(r[1] for r in truth) == 300
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 7), (200, 201), (300, 300)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links, "a", "b").collect()}
