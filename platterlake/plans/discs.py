@@ -14,7 +14,7 @@ from platterlake.plans.catalogue import Query
 from platterlake.plans.images import _hierarchical, _images, _read
 from platterlake.sinks.images import too_many_files, with_map_boot, with_title
 from platterlake.sources import adfs, afs, dfs, hosts
-from platterlake.sources.images import cylinders_for, filing_system, parse_geometry, prefix_issue, sectors, surfaces, with_layout
+from platterlake.sources.images import cylinders_for, filing_system, formats, parse_geometry, prefix_issue, sectors, surfaces, with_layout
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -241,3 +241,16 @@ def q83_set_map_boot(spark: SparkSession, d: str) -> DataFrame:
     changed = with_map_boot(_hierarchical(spark, d, 1280), F.col("image_id") % 4)
     wrong = adfs.map_issues(changed).groupBy("image_id").agg(F.count("code").alias("issues"))
     return adfs.disc_info(changed).select("image_id", "boot_option").join(wrong, "image_id", "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
+
+
+@query("""WITH i AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 102400 WHEN 1 THEN 204800 WHEN 2 THEN 327680 ELSE 655360 END AS bytes, CASE WHEN p_partkey % 4 < 2 THEN 'dfs' ELSE 'adfs' END AS fs FROM part),
+  f AS (SELECT * FROM (VALUES ('dfs-40', 'dfs', 102400, 1, 40, 10), ('dfs-80', 'dfs', 204800, 1, 80, 10), ('adfs-m', 'adfs', 327680, 1, 80, 16), ('adfs-l', 'adfs', 655360, 2, 80, 16)) v(format, fs, bytes, sides, tracks, spt))
+  SELECT p_partkey, format, sides, tracks, spt FROM i JOIN f USING (fs, bytes)""")
+def q84_formats(spark: SparkSession, d: str) -> DataFrame:
+    """The layout of each image, and the one format of its size and sides."""
+    k = F.col("p_partkey")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (k % 4 + 1).cast("int"))
+    images = table(spark, d, "part").select(k.alias("image_id"), pick("a.ssd", "a.ssd", "a.adf", "a.adl").alias("path"), pick(102400, 204800, 327680, 655360).cast("long").alias("length"), F.lit(b"").alias("content"))
+    laid = with_layout(images).select("image_id", "fs", F.col("length").alias("bytes"), "sides", "tracks", "spt")
+    found = laid.join(F.broadcast(formats(spark)), ["fs", "bytes", "sides", "tracks", "spt"])
+    return found.select(F.col("image_id").alias("p_partkey"), "format", "sides", "tracks", "spt")

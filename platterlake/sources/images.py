@@ -140,6 +140,25 @@ def range_bytes(start: Column, length: Column) -> Column:
     return F.when(length > 0, F.aggregate(tracks, F.lit(b""), add).substr(F.lit(1), length.cast("int"))).otherwise(F.lit(b""))
 
 
+def byte_slice(data: Column, start: int | None = None, stop: int | None = None, step: int = 1) -> Column:
+    """The bytes that a slice [start:stop:step] takes: places below 0 count from the end, a step below 0 goes back."""
+    if not step:
+        raise ValueError("the step can't be 0")
+    n = F.length(data)
+    low, high = (F.lit(0), n) if step > 0 else (F.lit(-1), n - 1)
+
+    def place(at: int | None, missing: Column) -> Column:
+        return missing if at is None else F.least(F.greatest(F.lit(at) if at >= 0 else n + at, low), high)
+
+    first, last = place(start, low if step > 0 else high), place(stop, high if step > 0 else low)
+    count = F.greatest(F.ceil((last - first) / step), F.lit(0)).cast("int")
+    none = F.when(data.isNull(), F.lit(None).cast("binary"))
+    if step == 1:
+        return none.when(count > 0, data.substr(first + 1, count)).otherwise(F.lit(b""))
+    taken = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.hex(data.substr((first + k * step + 1).cast("int"), F.lit(1))))
+    return none.when(count > 0, F.unhex(F.array_join(taken, ""))).otherwise(F.lit(b""))
+
+
 def parse_geometry(content: Column) -> Column:
     """struct<cylinders, heads, spt, capacity> of a 22-byte geometry sidecar; null where it is shorter."""
     from platterlake.functions.numbers import byte_at, uint_be

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from platterlake.sinks.export import with_metadata
+from platterlake.sinks.export import with_metadata, write_report
 from platterlake.sinks.images import patched, write_files
 from platterlake.sinks.server import build_partition, server_images
 from platterlake.sources import adfs, afs, archives, dfs, hosts
-from platterlake.sources.images import expanded, filing_system, in_file_order, in_linear_order, parse_geometry, surfaces, with_layout
+from platterlake.sources.images import byte_slice, expanded, filing_system, in_file_order, in_linear_order, parse_geometry, surfaces, with_layout
 
 
 def image_rows(spark, rows):
@@ -213,3 +214,18 @@ def test_host_folders(spark, tmp_path):
     assert got == [("H", "$.H"), ("a/F,fff", "$.a.F"), ("b/c/G", "$.b.c.G")]
     assert {r["target"] for r in hosts.import_plan(files, flat=True).collect()} == {"$.H", "$.F", "$.G"}
     assert {bytes(r["data"]) for r in files.where("path = 'H'").collect()} == {b"H"}
+
+
+@pytest.mark.parametrize("cut", [(None, None, 1), (2, 7, 1), (-4, None, 1), (None, -3, 1), (50, 60, 1), (7, 2, 1), (None, None, -1), (8, 1, -2), (-1, -8, -3), (1, None, 4), (None, 3, -1)])
+def test_byte_slices(spark, cut):
+    rows = [(bytes(range(10)),), (b"",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c binary").select(byte_slice(F.col("c"), *cut)).collect()]
+    assert [None if x is None else bytes(x) for x in got] == [bytes(range(10))[slice(*cut)], b"", None]
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 2), ("b", 1)], "code string, n int")
+    for form in ("json", "tsv"):
+        write_report(rows, f"{tmp_path}/{form}", form)
+    assert {r["code"] for r in spark.read.json(f"{tmp_path}/json").collect()} == {"a", "b"}
+    assert {r["code"] for r in spark.read.csv(f"{tmp_path}/tsv", header=True, sep="\t").collect()} == {"a", "b"}
