@@ -1,4 +1,4 @@
-"""File-server partitions and archives built from files: one image or archive per row, in the task that has its files."""
+"""Inputs of the registered queries: file-server partitions and archives built from files, one a row, in the task that has its files."""
 
 from __future__ import annotations
 

@@ -11,7 +11,7 @@ from platterlake.plans import bridge
 from platterlake.functions.metadata import META, meta
 from platterlake.operators.metadata import resolve_members
 from platterlake.sinks.images import adfs_images, dfs_images
-from platterlake.sinks.server import archive_files, server_images
+from platterlake.plans.fixtures import archive_files, server_images
 from platterlake.sources import adfs, afs, archives, dfs
 from platterlake.sources.images import in_file_order, in_linear_order, surfaces, with_layout
 

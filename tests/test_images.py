@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from platterlake.sinks.export import with_metadata, write_report
 from platterlake.sinks.images import patched, write_files
-from platterlake.sinks.server import build_partition, server_images
+from platterlake.plans.fixtures import build_partition, server_images
 from platterlake.sources import adfs, afs, archives, dfs, hosts
 from platterlake.sources.images import byte_slice, expanded, filing_system, in_file_order, in_linear_order, parse_geometry, surfaces, with_layout
 
@@ -229,3 +229,26 @@ def test_reports(spark, tmp_path):
         write_report(rows, f"{tmp_path}/{form}", form)
     assert {r["code"] for r in spark.read.json(f"{tmp_path}/json").collect()} == {"a", "b"}
     assert {r["code"] for r in spark.read.csv(f"{tmp_path}/tsv", header=True, sep="\t").collect()} == {"a", "b"}
+
+
+def test_archive_members_are_read_by_range(spark):
+    import io
+    import zipfile
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in (("d/", b""), ("d/F", b"abc" * 5000), ("é.inf", b"F 1900 8023"), ("e", b"")):
+            z.writestr(name, data)
+        z.writestr(zipfile.ZipInfo("plain"), b"stored")
+        z.comment = b"a comment at the end"
+    whole = packed.getvalue()
+    at = whole.index(b"d/F") + 3
+    broken = whole[: at + 2] + b"\xff\xff\xff" + whole[at + 5 :]
+    rows = [("ok", whole), ("broken", broken), ("empty", b""), ("none", None)]
+    got = {(r["archive"], r["filename"]): (r["ordinal"], r["file_size"], r["data"] and bytes(r["data"]), r["issue"]) for r in archives.members(spark.createDataFrame(rows, "archive string, content binary"), with_content=True).collect()}
+    assert got["ok", "d/F"] == (1, 15000, b"abc" * 5000, None) and got["ok", "plain"] == (4, 6, b"stored", None)
+    assert got["ok", "é.inf"][2] == b"F 1900 8023" and got["ok", "d/"] == (0, 0, None, None) and got["ok", "e"][3] is None
+    assert got["broken", "d/F"][2:] == (None, "broken-data") and got["broken", "plain"][2] == b"stored"
+    assert got["empty", None][3] == got["none", None][3] == "BadZipFile"
+    few = archives.members(spark.createDataFrame(rows[:1], "archive string, content binary")).where("data is not null").collect()
+    assert [r["filename"] for r in few] == ["é.inf"]
