@@ -10,11 +10,12 @@ from platterlake.operators import catalogue, copying, metadata, space, tree, use
 from platterlake.plans import bridge
 from platterlake.plans.bridge import table
 from platterlake.plans.catalogue import Query
+from platterlake.plans.fixtures import server_images
 from platterlake.plans.images import _images, _read
 from platterlake.plans.more import _ORDERED, _placed
 from platterlake.sinks.export import with_metadata
 from platterlake.sinks.images import patched
-from platterlake.sources import dfs
+from platterlake.sources import afs, dfs
 from platterlake.sources.archives import safe_path
 from platterlake.sources.images import expanded, surfaces, with_layout
 
@@ -181,3 +182,13 @@ def q100_conflict_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {bridge.SQL_ENTRIES} SELECT image_id, path, CAST(CASE WHEN directory = 'E' THEN 6400 ELSE load END AS BIGINT) AS load FROM e""")
 def q101_set_address(spark: SparkSession, d: str) -> DataFrame:
     return catalogue.set_address(bridge.entries(spark, d), "e.*", "load", 6400).select("image_id", "path", "load")
+
+
+@query(f"""WITH {bridge.SQL_ENTRIES} SELECT DISTINCT image_id, '$' AS path, 'broken-map' AS issue FROM e WHERE image_id % 2 = 0""")
+def q102_partition_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Partitions whose root can't be read, as every second image is cut off before it."""
+    zero = F.lit(0).cast("long")
+    files = bridge.entries(spark, d).select("image_id", "name", "load", zero.alias("exec"), F.lit(12).alias("access"), F.lit(0xD828).alias("packed_date"), F.lit(b"x").alias("data"))
+    images = server_images(files)
+    cut = F.when(F.col("image_id").cast("long") % 2 == 0, F.col("content").substr(F.lit(1), (F.col("root_sin") * SECTOR).cast("int"))).otherwise(F.col("content"))
+    return afs.objects(images.withColumn("content", cut)).where("issue is not null").select(F.col("image_id").cast("long").alias("image_id"), "path", "issue")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,27 +122,28 @@ def walk_tree(content: bytes, root: int, max_depth: int = 32) -> Iterator[dict]:
                 todo.append((inside, e["sin"], depth + 1))
 
 
-_ENTRY = (
+_EXTENTS = pa.list_(pa.struct([("block", pa.int32()), ("ordinal", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]))
+_ENTRY = {"parent_id": pa.string(), "path": pa.string(), "name": pa.string(), "ordinal": pa.int32(), "is_dir": pa.bool_()}
+_ENTRY |= {"length": pa.int64(), "load": pa.int64(), "exec": pa.int64(), "access": pa.int32(), "packed_date": pa.int32(), "sin": pa.int64(), "extents": _EXTENTS, "issue": pa.string()}
+_SCHEMA = (
     "image_id string, parent_id string, path string, name string, ordinal int, is_dir boolean, length bigint, load bigint, exec bigint, access int, packed_date int,"
     " sin bigint, extents array<struct<block: int, ordinal: int, start: bigint, length: bigint>>, issue string"
 )
-_COLUMNS = ["image_id", "parent_id", "path", "name", "ordinal", "is_dir", "length", "load", "exec", "access", "packed_date", "sin", "extents", "issue"]
 
 
 def objects(images: DataFrame) -> DataFrame:
     """The tree of each image (image_id, root_sin, content)."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for image, root, content in frame.itertuples(index=False):
-                rows = [{"image_id": image} | row for row in walk_tree(bytes(content), int(root))]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, root, content in zip(*batch.columns, strict=True):
+                rows = list(walk_tree(content.as_py(), root.as_py()))
                 for row in rows:
-                    row["extents"] = [{"block": b, "ordinal": k, "start": s, "length": n} for b, k, s, n in row.get("extents") or ()]
-                out = pd.DataFrame(rows, columns=_COLUMNS)
-                numbers = {c: out[c].astype("Int64") for c in ("ordinal", "length", "load", "exec", "access", "packed_date", "sin")}
-                yield out.assign(is_dir=out["is_dir"].astype("boolean"), **numbers)
+                    row["extents"] = [dict(zip(("block", "ordinal", "start", "length"), x, strict=True)) for x in row.get("extents") or ()]
+                columns = [pa.array([row.get(name) for row in rows], kind) for name, kind in _ENTRY.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([image.as_py()] * len(rows), pa.string()), *columns], ["image_id", *_ENTRY])
 
-    return images.select("image_id", "root_sin", "content").mapInPandas(read, _ENTRY)
+    return images.select(F.col("image_id").cast("string"), F.col("root_sin").cast("long"), "content").mapInArrow(read, _SCHEMA)
 
 
 def users(tables: DataFrame) -> DataFrame:
