@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,8 +139,20 @@ def allocate(runs: DataFrame, need: int | Column, key: str = "image_id") -> Data
 
 
 def old_map_checksum(data: Column, length: int = 255) -> Column:
-    """Checksum of a free-map sector: bytes from the last down, each added with the carry of the one before."""
-    byte = lambda k: F.conv(F.hex(data.substr(k + F.lit(1), F.lit(1))), 16, 10).cast("int")
-    places = F.sequence(F.lit(length - 1), F.lit(0), F.lit(-1))
-    folded = F.aggregate(places, F.lit(0), lambda total, k: total % 256 + F.floor(total / 256).cast("int") + byte(k))
-    return folded % 256
+    """Checksum of a free-map sector: bytes from the last down, each added with the carry of the one before.
+
+    Adding the carry back keeps a sum of 1 to 255, equal to the sum of the bytes modulo 255; the first byte comes last, and
+    its carry is dropped. The sum is taken of 8 bytes at a time, in four lanes of 16 bits.
+    """
+    lanes, lane = F.lit(0x00FF00FF00FF00FF), F.lit(0xFFFF)
+
+    def byte_sum(digits: Column) -> Column:
+        eights = [F.conv(F.substring(digits, 16 * k + 1, 16), 16, -10).cast("long") for k in range(32)]
+        halves = [x.bitwiseAND(lanes) + F.shiftrightunsigned(x, 8).bitwiseAND(lanes) for x in eights]
+        total = reduce(lambda a, b: a + b, halves)
+        return reduce(lambda a, b: a + b, [F.shiftrightunsigned(total, 16 * k).bitwiseAND(lane) for k in range(4)])
+
+    head = F.conv(F.hex(data.substr(F.lit(1), F.lit(1))), 16, 10).cast("long")
+    rest = F.rpad(data.substr(F.lit(2), F.lit(length - 1)), 256, F.lit(b"\x00"))
+    carried = F.transform(F.array(F.hex(rest)), byte_sum)[0]
+    return ((F.when(carried == 0, 0).otherwise((carried - 1) % 255 + 1) + head) % 256).cast("int")

@@ -194,3 +194,18 @@ def test_writes_are_folded_in_order(spark):
     got = users.accepted_writes(spark.createDataFrame(list(left.items()), "user string, free_space long"), spark.createDataFrame(asked, "user string, seq long, bytes long")).collect()
     assert sorted((r["user"], r["seq"], r["cost"], r["balance"]) for r in got) == sorted(expected)
     assert any(not r["accepted"] for r in got) and any(r["accepted"] for r in got)
+
+
+def test_map_checksum_equals_the_byte_by_byte_sum(spark):
+    rng = random.Random(2)
+    blocks = [bytes(rng.randrange(256) for _ in range(256)) for _ in range(60)] + [bytes(256), b"\xff" * 256, b"\x01" + bytes(255), bytes(254) + b"\xff\x00", bytes(100) + b"\xff\xff" + bytes(154)]
+    expected = []
+    for block in blocks:
+        total = 0
+        for k in range(254, -1, -1):
+            total = total % 256 + total // 256 + block[k]
+        expected.append(total % 256)
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "i int, b binary")
+    got = [r["c"] for r in df.select("i", space.old_map_checksum(F.col("b")).alias("c")).orderBy("i").collect()]
+    assert got == expected
+    assert [r["c"] for r in df.select("i", space.old_map_checksum(F.col("b").substr(F.lit(1), F.lit(255))).alias("c")).orderBy("i").collect()] == expected
