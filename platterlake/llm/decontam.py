@@ -24,32 +24,43 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BETWEEN), "")
 
 
-def _slide(n: Column, width: int, f) -> Column:
-    """f(i) for the start i of each window of `width` among n places."""
-    return F.when(n >= width, F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), f)).otherwise(F.array())
-
-
 def _named(rows: DataFrame, lengths: list[int], gram: int) -> DataFrame:
     """Rows with `_words`, and `_names`: for each length, the name of the window at each start.
 
-    A column that a lambda reads has to be read there more than once, or Spark builds it anew for every element.
+    Grams are hashed, and least grams found, by doubling: two neighbouring runs of an array are zipped to one twice as
+    long. No lambda reads a column, as Spark may build one anew for every element.
     """
-    d, n = rows.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w))), F.size("_h")
-    hashes = F.col("_h")
-
-    def gram_at(k: int):
-        return lambda i: F.xxhash64(F.lit(k), *[F.get(hashes, i + j) for j in range(k)])
-
-    for k in sorted({min(gram, length) for length in lengths}):
-        d = d.withColumn(f"_g{k}", _slide(n, k, gram_at(k)))
-
-    def names(length: int) -> Column:
+    d = rows.withColumns({"_r1": F.transform("_words", lambda w: F.xxhash64(w)), "_n": F.size("_words")})
+    made = {"_r1", "_n"}
+
+    def zipped(name: str, left: str, right: str, ahead: int, width: int, f) -> str:
+        """A column of f(left[i], right[i + ahead]) for each start i of a run of `width` words."""
+        nonlocal d
+        if name not in made:
+            n = F.greatest(F.col("_n") - F.lit(width - 1), F.lit(0))
+            d = d.withColumn(name, F.zip_with(F.slice(left, 1, n), F.slice(right, ahead + 1, n), f))
+            made.add(name)
+        return name
+
+    def hashed(k: int) -> str:
+        if k == 1:
+            return "_r1"
+        half = 1 << (k - 1).bit_length() - 1
+        return zipped(f"_r{k}", hashed(half), hashed(k - half), half, k, lambda x, y: F.xxhash64(x, y))
+
+    def least(k: int, m: int, add: int = 0) -> str:
+        """Least of m neighbouring k-grams, and `add`: of the first `part` of them and the last."""
+        if m == 1:
+            return hashed(k)
+        part = 1 << (m - 1).bit_length() - 1
+        own = least(k, part)
+        return zipped(f"_m{k}_{m}_{add}", own, own, m - part, k + m - 1, lambda x, y: F.least(x, y) + F.lit(add))
+
+    names = []
+    for length in lengths:
         k = min(gram, length)
-        grams = F.col(f"_g{k}")
-        return grams if k == length else _slide(n, length, lambda i: F.least(*[F.get(grams, i + j) for j in range(length - k + 1)]) + F.lit(length))
-
-    named = d.withColumn("_names", F.array(*[names(length) for length in lengths]))
-    return named.drop("_h", *[c for c in named.columns if c.startswith("_g")])
+        names.append(F.col(least(k, length - k + 1, length if length > k else 0)))
+    return d.withColumn("_names", F.array(*names)).drop(*made)
 
 
 def _window_text(start: Column, length: Column) -> Column:
