@@ -14,7 +14,7 @@ BUCKET_DIGITS = 3
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
 def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame:
