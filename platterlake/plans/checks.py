@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platterlake.functions.numbers import SECTOR, bytes_le
@@ -14,10 +17,10 @@ from platterlake.plans.fixtures import server_images
 from platterlake.plans.images import _images, _read
 from platterlake.plans.more import _ORDERED, _placed
 from platterlake.sinks.export import with_metadata
-from platterlake.sinks.images import patched
+from platterlake.sinks.images import patched, write_files
 from platterlake.sources import afs, dfs
 from platterlake.sources.archives import safe_path
-from platterlake.sources.images import expanded, surfaces, with_layout
+from platterlake.sources.images import expanded, read_images, surfaces, with_layout
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -192,3 +195,19 @@ def q102_partition_issues(spark: SparkSession, d: str) -> DataFrame:
     images = server_images(files)
     cut = F.when(F.col("image_id").cast("long") % 2 == 0, F.col("content").substr(F.lit(1), (F.col("root_sin") * SECTOR).cast("int"))).otherwise(F.col("content"))
     return afs.objects(images.withColumn("content", cut)).where("issue is not null").select(F.col("image_id").cast("long").alias("image_id"), "path", "issue")
+
+
+@query("""SELECT 'double/' || n_nationkey || '.ssd' AS name, CAST(102400 AS BIGINT) AS length, CAST(2 AS BIGINT) AS num_files FROM nation""")
+def q103_folder_of_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images written as files below the shared folder, and all of them read again in one batch."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="images-")
+    folder = f"{shared.rstrip('/')}/images-{uuid.uuid4().hex}"
+    write_files(_sections(spark, d).select(F.concat(F.lit("double/"), "path").alias("path"), F.col("content").alias("data")), folder)
+    images = read_images(spark, folder)
+    info = dfs.disc_info(_read(images)).select("image_id", "num_files")
+    name = F.regexp_extract("image_id", r"(double/[^/]*)$", 1)
+    return images.select("image_id", "length").join(info, "image_id").select(name.alias("name"), "length", "num_files")
