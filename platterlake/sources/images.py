@@ -95,7 +95,10 @@ def _is_two_sided() -> Column:
 def _tracks(place: Callable[[int, int], int], by_side: bool = True) -> Column:
     size = 16 * SECTOR
     order = [(s, t) for s in range(2) for t in range(80)] if by_side else [(s, t) for t in range(80) for s in range(2)]
-    return F.concat(*[F.col("content").substr(F.lit(place(s, t) * size + 1), F.lit(size)) for s, t in order])
+    def moved(content: Column) -> Column:  # as a lambda it stays out of the generated code, which 160 parts would make too long
+        return F.concat(*[content.substr(F.lit(place(s, t) * size + 1), F.lit(size)) for s, t in order])
+
+    return F.transform(F.array("content"), moved)[0]
 
 
 def surfaces(images: DataFrame, sequential: bool = False) -> DataFrame:
