@@ -142,17 +142,14 @@ def old_map_checksum(data: Column, length: int = 255) -> Column:
     """Checksum of a free-map sector: bytes from the last down, each added with the carry of the one before.
 
     Adding the carry back keeps a sum of 1 to 255, equal to the sum of the bytes modulo 255; the first byte comes last, and
-    its carry is dropped. The sum is taken of 8 bytes at a time, in four lanes of 16 bits.
+    its carry is dropped. As 256 is 1 modulo 255, a number of 7 bytes stands for the sum of its bytes, and each byte is read once.
     """
-    lanes, lane = F.lit(0x00FF00FF00FF00FF), F.lit(0xFFFF)
+    parts = -(-(length - 1) // 7)
 
-    def byte_sum(digits: Column) -> Column:
-        eights = [F.conv(F.substring(digits, 16 * k + 1, 16), 16, -10).cast("long") for k in range(32)]
-        halves = [x.bitwiseAND(lanes) + F.shiftrightunsigned(x, 8).bitwiseAND(lanes) for x in eights]
-        total = reduce(lambda a, b: a + b, halves)
-        return reduce(lambda a, b: a + b, [F.shiftrightunsigned(total, 16 * k).bitwiseAND(lane) for k in range(4)])
+    def add(done: Column, digits: Column) -> Column:
+        return reduce(lambda a, b: a + b, [F.conv(F.substring(digits, 14 * k + 1, 14), 16, 10).cast("long") for k in range(parts)], done)
 
     head = F.conv(F.hex(data.substr(F.lit(1), F.lit(1))), 16, 10).cast("long")
-    rest = F.rpad(data.substr(F.lit(2), F.lit(length - 1)), 256, F.lit(b"\x00"))
-    carried = F.transform(F.array(F.hex(rest)), byte_sum)[0]
-    return ((F.when(carried == 0, 0).otherwise((carried - 1) % 255 + 1) + head) % 256).cast("int")
+    rest = F.rpad(data.substr(F.lit(2), F.lit(length - 1)), 7 * parts, F.lit(b"\x00"))
+    carried = F.aggregate(F.array(F.hex(rest)), F.lit(0).cast("long"), add, lambda c: F.when(c == 0, 0).otherwise((c - 1) % 255 + 1))
+    return ((carried + head) % 256).cast("int")

@@ -209,3 +209,16 @@ def test_map_checksum_equals_the_byte_by_byte_sum(spark):
     got = [r["c"] for r in df.select("i", space.old_map_checksum(F.col("b")).alias("c")).orderBy("i").collect()]
     assert got == expected
     assert [r["c"] for r in df.select("i", space.old_map_checksum(F.col("b").substr(F.lit(1), F.lit(255))).alias("c")).orderBy("i").collect()] == expected
+
+
+def test_map_checksum_reads_each_byte_once(spark):
+    rng = random.Random(3)
+    blocks = [bytes(rng.randrange(256) for _ in range(16)) for _ in range(50)] + [bytes(16), b"\xff" * 16, b"\x05" + bytes(15)]
+    got = spark.createDataFrame([(b,) for b in blocks], "b binary").select("b", space.old_map_checksum(F.col("b"), 16).alias("c"))
+    for b, c in got.collect():
+        total = 0
+        for x in reversed(b):
+            total = total % 256 + total // 256 + x
+        assert c == total % 256
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("conv(") == 4  # 15 bytes in parts of 7, and the first
