@@ -34,6 +34,16 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.withColumn("start_sector", (before + 2 + F.floor((F.col("ordinal") - 1) / 5) * 3).cast("long"))
 
 
+def by_image(files: DataFrame) -> DataFrame:
+    """The files with those of an image side by side, before they are given their bytes.
+
+    So only their keys are shuffled and sorted, and images are built one after another as rows stream by. The number of
+    partitions stands, since these few bytes tell nothing of what the images will hold.
+    """
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(parts, "image_id").sortWithinPartitions("image_id")
+
+
 def bad_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries with some starts two sectors early and some names repeated."""
     twin = F.col("p_partkey") % 13 == 0

@@ -131,19 +131,23 @@ _SCHEMA = (
 )
 
 
-def objects(images: DataFrame) -> DataFrame:
-    """The tree of each image (image_id, root_sin, content)."""
+def objects(images: DataFrame, with_data: bool = False) -> DataFrame:
+    """The tree of each image (image_id, root_sin, content), with the objects' bytes if wanted, as the image is at hand here."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for image, root, content in zip(*batch.columns, strict=True):
-                rows = list(walk_tree(content.as_py(), root.as_py()))
+                whole = content.as_py()
+                rows = list(walk_tree(whole, root.as_py()))
                 for row in rows:
+                    if with_data and "extents" in row:
+                        row["data"] = b"".join(whole[s * SECTOR : (s + n) * SECTOR] for _, _, s, n in row["extents"])[: row["length"]]
                     row["extents"] = [dict(zip(("block", "ordinal", "start", "length"), x, strict=True)) for x in row.get("extents") or ()]
-                columns = [pa.array([row.get(name) for row in rows], kind) for name, kind in _ENTRY.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([image.as_py()] * len(rows), pa.string()), *columns], ["image_id", *_ENTRY])
+                columns = [pa.array([row.get(name) for row in rows], kind) for name, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([image.as_py()] * len(rows), pa.string()), *columns], ["image_id", *kinds])
 
-    return images.select(F.col("image_id").cast("string"), F.col("root_sin").cast("long"), "content").mapInArrow(read, _SCHEMA)
+    kinds = _ENTRY | ({"data": pa.binary()} if with_data else {})
+    return images.select(F.col("image_id").cast("string"), F.col("root_sin").cast("long"), "content").mapInArrow(read, _SCHEMA + (", data binary" if with_data else ""))
 
 
 def users(tables: DataFrame) -> DataFrame:

@@ -252,3 +252,32 @@ def test_archive_members_are_read_by_range(spark):
     assert got["empty", None][3] == got["none", None][3] == "BadZipFile"
     few = archives.members(spark.createDataFrame(rows[:1], "archive string, content binary")).where("data is not null").collect()
     assert [r["filename"] for r in few] == ["é.inf"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def below(plan, kind):
+    """The first line of a plan that names `kind`, and all lines under it."""
+    lines = plan.splitlines()
+    return "\n".join(lines[next(k for k, line in enumerate(lines) if kind in line) :])
+
+
+def test_objects_come_with_their_bytes(spark):
+    files = spark.createDataFrame([(i, f"F{k}", 1, 2, 12, 0xD828, bytes([k]) * (k * 300)) for i in (1, 2) for k in range(5)], "image_id long, name string, load long, exec long, access int, packed_date int, data binary")
+    images = server_images(files)
+    joined = {(r["image_id"], r["path"]): bytes(r["data"]) for r in afs.object_bytes(images, afs.objects(images)).collect()}
+    got = {(r["image_id"], r["path"]): bytes(r["data"]) for r in afs.objects(images, with_data=True).collect()}
+    assert got == joined and len(got) == 10
+    broken = images.limit(1).withColumn("content", F.lit(b"\0" * 512)).withColumn("root_sin", F.lit(1).cast("long"))
+    assert [(r["issue"], r["data"]) for r in afs.objects(broken, with_data=True).collect()] == [("broken-map", None)]
+
+
+def test_partitions_are_built_one_by_one_from_shuffled_keys(spark):
+    from platterlake.plans import checks, images
+
+    for q in (images.q47_server_objects, checks.q102_partition_issues):
+        plan = plan_of(q(spark, "/root/testdata/sf0.001"))
+        assert "FlatMapGroupsInArrow" in plan and "Join" not in plan and "ObjectHashAggregate" not in plan and "collect_list" not in plan
+        assert "data" not in below(plan, "Sort").replace("DataFilters", "").replace("testdata", "")  # no file's bytes are sorted or shuffled
