@@ -191,7 +191,7 @@ def q101_set_address(spark: SparkSession, d: str) -> DataFrame:
 def q102_partition_issues(spark: SparkSession, d: str) -> DataFrame:
     """Partitions whose root can't be read, as every second image is cut off before it."""
     zero = F.lit(0).cast("long")
-    files = bridge.entries(spark, d).select("image_id", "name", "load", zero.alias("exec"), F.lit(12).alias("access"), F.lit(0xD828).alias("packed_date"), F.lit(b"x").alias("data"))
+    files = bridge.by_image(bridge.entries(spark, d)).select("image_id", "name", "load", zero.alias("exec"), F.lit(12).alias("access"), F.lit(0xD828).alias("packed_date"), F.lit(b"x").alias("data"))
     images = server_images(files)
     cut = F.when(F.col("image_id").cast("long") % 2 == 0, F.col("content").substr(F.lit(1), (F.col("root_sin") * SECTOR).cast("int"))).otherwise(F.col("content"))
     return afs.objects(images.withColumn("content", cut)).where("issue is not null").select(F.col("image_id").cast("long").alias("image_id"), "path", "issue")
