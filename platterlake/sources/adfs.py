@@ -129,25 +129,30 @@ def walk_tree(content: bytes) -> Iterator[dict]:
 _FIELDS = "parent_id string, ordinal int, name string, flags string, is_dir boolean, load bigint, exec bigint, length bigint, start_sector bigint, seq bigint, id string, issue string"
 
 
-def tree(images: DataFrame) -> DataFrame:
-    """Entries and issues of each image (image_id, content in linear order), read in the task that holds the image."""
+def tree(images: DataFrame, with_data: bool = False) -> DataFrame:
+    """Entries and issues of each image (image_id, content in linear order), read in the task that holds the image; with the entries' bytes if wanted."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                rows = list(walk_tree(batch.column(1)[i].as_py() or b""))
+                content = batch.column(1)[i].as_py() or b""
+                rows = list(walk_tree(content))
+                for r in rows if with_data else ():
+                    if "length" in r:
+                        r["data"] = content[r["start_sector"] * SECTOR : r["start_sector"] * SECTOR + r["length"]]
                 columns = [pa.array([r.get(name) for r in rows], kind) for name, kind in zip(names, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(rows), pa.int64())), *columns], ["image_id", *names])
 
-    names = [f.split()[0] for f in _FIELDS.split(", ")]
-    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "bigint": pa.int64()}
-    kinds = [types[f.split()[1]] for f in _FIELDS.split(", ")]
-    return images.select("image_id", "content").mapInArrow(read, f"image_id {images.schema['image_id'].dataType.simpleString()}, {_FIELDS}")
+    fields = _FIELDS + (", data binary" if with_data else "")
+    names = [f.split()[0] for f in fields.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "bigint": pa.int64(), "binary": pa.binary()}
+    kinds = [types[f.split()[1]] for f in fields.split(", ")]
+    return images.select("image_id", "content").mapInArrow(read, f"image_id {images.schema['image_id'].dataType.simpleString()}, {fields}")
 
 
-def entries(images: DataFrame) -> DataFrame:
-    """All entries of all directories, with id (the path) and parent_id; the root's children have parent `$`."""
-    return tree(images).where("issue is null").drop("issue")
+def entries(images: DataFrame, with_data: bool = False) -> DataFrame:
+    """All entries of all directories, with id (the path) and parent_id; the root's children have parent `$`. Files are contiguous, an empty one has no bytes."""
+    return tree(images, with_data).where("issue is null").drop("issue")
 
 
 def tree_issues(images: DataFrame) -> DataFrame:

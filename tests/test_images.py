@@ -281,3 +281,38 @@ def test_partitions_are_built_one_by_one_from_shuffled_keys(spark):
         plan = plan_of(q(spark, "/root/testdata/sf0.001"))
         assert "FlatMapGroupsInArrow" in plan and "Join" not in plan and "ObjectHashAggregate" not in plan and "collect_list" not in plan
         assert "data" not in below(plan, "Sort").replace("DataFilters", "").replace("testdata", "")  # no file's bytes are sorted or shuffled
+
+
+def test_images_are_built_as_rows_stream_by(spark):
+    from platterlake.plans import checks, discs, images
+
+    for q in (images.q46_hierarchical_roundtrip, images.q46b_hierarchical_map, discs.q83_set_map_boot, checks.q85_expanded, images.q45_image_roundtrip):
+        plan = plan_of(q(spark, "/root/testdata/sf0.001"))
+        assert "ObjectHashAggregate" not in plan
+        for k, line in enumerate(plan.splitlines()):
+            if "Sort [" in line or "Exchange hashpartitioning" in line:
+                under = plan.splitlines()[k + 1]
+                assert "rpad" not in under and "content" not in under and "data" not in under
+
+
+def test_names_that_do_not_fit_a_flat_catalogue(spark, tmp_path):
+    from platterlake.plans.images import q45_image_roundtrip
+    from platterlake.sinks.images import dfs_images, long_names
+
+    parts = spark.createDataFrame([(1_000_000 + k, 1 + k % 3) for k in range(25)], "p_partkey long, p_size int")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    got = q45_image_roundtrip(spark, str(tmp_path)).collect()
+    assert {r["path"].partition(".")[2] for r in got} == {f"P{1_000_000 + k}" for k in range(25)}
+    row = (0, "$", False, 0, 0, 1, b"x")
+    files = spark.createDataFrame([(1, "SHORT", 2, *row), (2, "SHORT", 2, *row), (2, "TOOLONGNAME", 3, *row)], "image_id long, name string, start_sector long, ordinal long, directory string, locked boolean, load long, exec long, length long, data binary")
+    discs = spark.createDataFrame([(1, "A", 0, 0, 400), (2, "B", 0, 0, 400), (3, "C", 0, 0, 400)], "image_id long, title string, cycle int, boot_option int, total_sectors int")
+    assert sorted(r["image_id"] for r in dfs_images(files, discs).collect()) == [1, 3]
+    assert [tuple(r) for r in long_names(files).collect()] == [(2, "name-too-long", "TOOLONGNAME")]
+
+
+def test_hierarchical_entries_come_with_their_bytes(spark):
+    content = hierarchical(640, [("$.Dir", None), ("$.Dir.F", b"deep" * 100), ("$.Empty", b""), ("$.One", b"1")])
+    images = image_rows(spark, [("s", "s.adf", len(content), content)])
+    joined = {r["id"]: bytes(r["data"]) for r in adfs.read_files(images, adfs.entries(images)).collect()}
+    got = {r["id"]: bytes(r["data"]) for r in adfs.entries(images, with_data=True).collect()}
+    assert got == joined and got["$.Dir.F"] == b"deep" * 100
