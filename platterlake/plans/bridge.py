@@ -14,12 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """25 files an image, a gap of three sectors after every fifth."""
-    part = table(spark, sf_dir, "part")
+def entries(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """25 files an image, a gap of three sectors after every fifth; `dealt` beforehand where images will be built of them."""
+    part = table(spark, sf_dir, "part").withColumn("image_id", F.floor(F.col("p_partkey") / 25).cast("long"))
+    part = _dealt(part) if dealt else part
     order = Window.partitionBy("image_id").orderBy("p_partkey")
     even = (F.col("p_partkey") * 2654435761) % 1048576 + 4293918720
-    files = part.withColumn("image_id", F.floor(F.col("p_partkey") / 25).cast("long")).select(
+    files = part.select(
         "image_id",
         "p_partkey",
         F.row_number().over(order).cast("long").alias("ordinal"),
@@ -34,14 +35,18 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.withColumn("start_sector", (before + 2 + F.floor((F.col("ordinal") - 1) / 5) * 3).cast("long"))
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(parts, "image_id")
+
+
 def by_image(files: DataFrame) -> DataFrame:
     """The files with those of an image side by side, before they are given their bytes.
 
     So only their keys are shuffled and sorted, and images are built one after another as rows stream by. The number of
     partitions stands, since these few bytes tell nothing of what the images will hold.
     """
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(parts, "image_id").sortWithinPartitions("image_id")
+    return _dealt(files).sortWithinPartitions("image_id")
 
 
 def bad_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,8 +239,7 @@ def q82_first_fit_issues(spark: SparkSession, d: str) -> DataFrame:
 def q83_set_map_boot(spark: SparkSession, d: str) -> DataFrame:
     """Boot options put into free maps, whose checksums hold."""
     changed = with_map_boot(_hierarchical(spark, d, 1280), F.col("image_id") % 4)
-    wrong = adfs.map_issues(changed).groupBy("image_id").agg(F.count("code").alias("issues"))
-    return adfs.disc_info(changed).select("image_id", "boot_option").join(wrong, "image_id", "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
+    return adfs.disc_info(changed, adfs.map_codes().alias("codes")).select("image_id", "boot_option", F.size("codes").cast("long").alias("issues"))
 
 
 @query("""WITH i AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 102400 WHEN 1 THEN 204800 WHEN 2 THEN 327680 ELSE 655360 END AS bytes, CASE WHEN p_partkey % 4 < 2 THEN 'dfs' ELSE 'adfs' END AS fs FROM part),

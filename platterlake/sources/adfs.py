@@ -38,8 +38,8 @@ def free_regions(images: DataFrame) -> DataFrame:
     return rows.select("image_id", "ordinal", uint_le(F.col("content"), at, 3).alias("start_sector"), uint_le(F.col("content"), at + 0x100, 3).alias("length"))
 
 
-def disc_info(images: DataFrame) -> DataFrame:
-    """Size, name, id, boot option and file-server pointers (null where there is no such partition)."""
+def disc_info(images: DataFrame, *more: Column) -> DataFrame:
+    """Size, name, id, boot option and file-server pointers (null where there is no such partition); and further columns of the same pass."""
     c = F.col("content")
     letters = [part.substr(F.lit(k + 1), F.lit(1)) for k in range(5) for part in (_content(0x1F6, 5), _content(0x0F7, 5))]
     name = F.regexp_replace(F.regexp_replace(decode_text(F.concat(*letters[:10])), r"[\r\x00].*$", ""), r"\s+$", "")
@@ -53,11 +53,12 @@ def disc_info(images: DataFrame) -> DataFrame:
         byte_at(c, 0x1FD).alias("boot_option"),
         F.when(server, one).alias("info_sector_1"),
         F.when(server, two).alias("info_sector_2"),
+        *more,
     )
 
 
-def map_issues(images: DataFrame) -> DataFrame:
-    """Checksums and the end pointer of the free map."""
+def map_codes() -> Column:
+    """What is wrong with checksums and the end pointer of the free map of `content`."""
     c = F.col("content")
     end = byte_at(c, 0x1FE)
     checks = F.array(
@@ -67,7 +68,11 @@ def map_issues(images: DataFrame) -> DataFrame:
         F.when(end > 246, F.lit("free-end-too-large")),
         F.when(~_content(ROOT_SECTOR * SECTOR + 1, 4).cast("string").isin(*SIGNATURES), F.lit("root-unreadable")),
     )
-    return images.select("image_id", F.explode(F.array_compact(checks)).alias("code"))
+    return F.array_compact(checks)
+
+
+def map_issues(images: DataFrame) -> DataFrame:
+    return images.select("image_id", F.explode(map_codes()).alias("code"))
 
 
 def read_directory(block: bytes) -> tuple[list[dict], str | None]:

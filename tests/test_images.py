@@ -295,6 +295,16 @@ def test_images_are_built_as_rows_stream_by(spark):
                 assert "rpad" not in under and "content" not in under and "data" not in under
 
 
+def test_images_are_built_once_with_their_discs_columns(spark):
+    """One scan, no join: each join sorts, and a task holds the pages of all its sorts at once."""
+    from platterlake.plans import discs
+
+    for q, sorts in ((discs.q83_set_map_boot, 1),):
+        plan = plan_of(q(spark, "/root/testdata/sf0.001"))
+        assert "Join" not in plan and plan.count("FileScan") == 1 and plan.count("Sort [") == sorts
+        assert "REPARTITION_BY_NUM" in plan  # the number of partitions stands
+
+
 def test_names_that_do_not_fit_a_flat_catalogue(spark, tmp_path):
     from platterlake.plans.images import q45_image_roundtrip
     from platterlake.sinks.images import dfs_images, long_names
