@@ -39,12 +39,11 @@ def query(sql: str):
   SELECT image_id, CAST(204800 - greatest(used * 256, 512) AS BIGINT) AS added, CAST(204800 AS BIGINT) AS bytes, (SELECT count(*) FROM e WHERE e.image_id = t.image_id) AS files FROM t""")
 def q85_expanded(spark: SparkSession, d: str) -> DataFrame:
     """Images cut off behind their last file, padded again and read."""
-    e = bridge.entries(spark, d).groupBy("image_id").agg(F.max(F.col("start_sector") + F.col("sectors")).alias("used"))
-    cut = _images(spark, d).join(e.hint("merge"), "image_id").withColumn("content", F.col("content").substr(F.lit(1), F.greatest(F.col("used") * SECTOR, F.lit(512)).cast("int")))
+    cut = _images(spark, d, "used").withColumn("content", F.col("content").substr(F.lit(1), F.greatest(F.col("used") * SECTOR, F.lit(512)).cast("int")))
     named = cut.select("image_id", "path", F.length("content").cast("long").alias("length"), "content")
     full = expanded(with_layout(named).withColumn("tracks", F.lit(80)).withColumn("spt", F.lit(10)).withColumn("full_bytes", F.lit(204800).cast("long")))
-    files = dfs.entries(dfs.identify(surfaces(full))).groupBy("image_id").agg(F.count("path").alias("files"))
-    return full.select("image_id", "added", F.length("content").cast("long").alias("bytes")).join(files, "image_id")
+    found = dfs.entries(dfs.identify(surfaces(full.withColumn("bytes", F.length("content").cast("long")))), kept=("added", "bytes"))
+    return found.groupBy("image_id", "added", "bytes").agg(F.count("path").alias("files"))
 
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:

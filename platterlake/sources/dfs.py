@@ -54,12 +54,17 @@ def disc_info(catalogued: DataFrame) -> DataFrame:
     )
 
 
-def _section(catalogued: DataFrame, names: int, base: int) -> DataFrame:
-    """Entries of the section whose names are in sector `names`."""
-    s0, s1 = sector_bytes(F.lit(names)), sector_bytes(F.lit(names + 1))
-    n = F.least(F.floor(byte_at(s1, 5) / 8), F.lit(31)).cast("int")
-    rows = catalogued.withColumn("_a", s0).withColumn("_b", s1).withColumn("_i", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
-    a, b, at = F.col("_a"), F.col("_b"), F.col("_i") * 8 + 8
+def _sections(catalogued: DataFrame) -> DataFrame:
+    """Entries of the section in sectors 0 and 1, and of the one in sectors 2 and 3 where there is one; each image is read once."""
+
+    def section(names: int, base: int) -> Column:
+        s0, s1 = sector_bytes(F.lit(names)), sector_bytes(F.lit(names + 1))
+        n = F.least(F.floor(byte_at(s1, 5) / 8), F.lit(31)).cast("int")
+        return F.struct(s0.alias("a"), s1.alias("b"), F.lit(base).alias("base"), F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")).alias("at"))
+
+    both = F.when(F.col("catalogue") == "double", F.array(section(0, 0), section(2, 31))).otherwise(F.array(section(0, 0)))
+    rows = catalogued.withColumn("_s", F.explode(both)).withColumn("_i", F.explode("_s.at"))
+    a, b, at, base = F.col("_s.a"), F.col("_s.b"), F.col("_i") * 8 + 8, F.col("_s.base")
     x = byte_at(b, at + 6)
     letter = byte_at(a, at + 7)
     high = lambda mask, shift: F.shiftleft(x.bitwiseAND(F.lit(mask)), shift)
@@ -79,13 +84,12 @@ def _section(catalogued: DataFrame, names: int, base: int) -> DataFrame:
     )
 
 
-def entries(catalogued: DataFrame, with_data: bool = False) -> DataFrame:
-    """(image_id, side, ordinal, path, name, directory, locked, load, exec, length, sectors, start_sector[, data])."""
-    known = catalogued.where("catalogue is not null")
-    both = _section(known, 0, 0).unionByName(_section(known.where("catalogue = 'double'"), 2, 31))
+def entries(catalogued: DataFrame, with_data: bool = False, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, side, ordinal, path, name, directory, locked, load, exec, length, sectors, start_sector[, data]), and the columns of images to be kept."""
+    both = _sections(catalogued.where("catalogue is not null"))
     data = [range_bytes(F.col("start_sector"), F.col("file_length")).alias("data")] if with_data else []
     return both.select(
-        "image_id", "side", "ordinal", F.col("entry_path").alias("path"), "name", "directory", "locked", "load", "exec", F.col("file_length").alias("length"), sectors_required(F.col("file_length")).alias("sectors"), "start_sector", *data
+        "image_id", "side", "ordinal", F.col("entry_path").alias("path"), "name", "directory", "locked", "load", "exec", F.col("file_length").alias("length"), sectors_required(F.col("file_length")).alias("sectors"), "start_sector", *data, *kept
     )
 
 

@@ -297,9 +297,9 @@ def test_images_are_built_as_rows_stream_by(spark):
 
 def test_images_are_built_once_with_their_discs_columns(spark):
     """One scan, no join: each join sorts, and a task holds the pages of all its sorts at once."""
-    from platterlake.plans import discs
+    from platterlake.plans import checks, discs
 
-    for q, sorts in ((discs.q83_set_map_boot, 1),):
+    for q, sorts in ((discs.q83_set_map_boot, 1), (checks.q85_expanded, 2)):
         plan = plan_of(q(spark, "/root/testdata/sf0.001"))
         assert "Join" not in plan and plan.count("FileScan") == 1 and plan.count("Sort [") == sorts
         assert "REPARTITION_BY_NUM" in plan  # the number of partitions stands
