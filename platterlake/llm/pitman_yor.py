@@ -15,8 +15,11 @@ How it is dealt out. The `FREQUENT` most frequent words are broadcast with their
 round; all other words are rare, by definition no more than one in FREQUENT tokens each. Pairs with a frequent word
 go to buckets by context (by the pair, where the context is frequent too), pairs with a rare word to buckets by that
 word. So a rare context's cells, or a rare word's tables, are in one bucket and are sampled in sequence; a frequent
-context's are spread over all buckets, which take its tables as of the last round. A pair of two rare words has one table
-(a second has a chance below (strength + discount * T) * p, some millionths); it is scored by a join of the two buckets.
+context's are spread over all buckets, which take its tables as of the last round. A pair of two rare words is among the cells
+of its context's bucket and of its word's. Its tables are drawn at the word, given the context's as of the last round, and handed
+back for the next. Only pairs that some sweep could give a second table are handed on: a draw's tables grow with the context's
+and with the word's, so one given the most of both that there can be bounds it (`open_pairs`). Other pairs have one table in any
+case. Handed numbers go to the buckets by a join; another brings the two buckets together for the scores.
 
 A bucket is a row: sorted cells and the texts that hold them as compressed arrays, so sweeps read it without a shuffle.
 The number of buckets grows with the tokens, and each holds about `BUCKET_TOKENS` of them.
@@ -43,7 +46,7 @@ from platterlake.llm.shared import mix64, pieces, texts, whole_groups, written
 FREQUENT = 1 << 17
 STRENGTH = 1.0
 ROUNDS, SWEEPS, BURN_IN = 3, 4, 1
-EXACT = 1024
+FEW, EXACT = 16, 1024
 BUCKET_TOKENS = 1 << 18
 #: The end's key; frequent words are numbered from 1; rare ones are a hash from RARE on.
 END, RARE = 0, 1 << 62
@@ -72,7 +75,7 @@ def unpack(packed: bytes, count: int) -> list[np.ndarray]:
 # --- seating --------------------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def log_stirling(discount: float, most: int) -> np.ndarray:
     """log S(n, t) for n, t up to `most`: the weight of seating n customers at t tables."""
     s = np.full((most + 1, most + 1), -np.inf)
@@ -98,9 +101,22 @@ def draw(n: np.ndarray, outside: np.ndarray, p: np.ndarray, discount: float, key
     small = np.flatnonzero((n > 1) & (n <= EXACT))
     if len(small):
         at_random = uniform(keys, sweep)
+        two = small[n[small] == 2]
+        once, twice = 1 - discount, (STRENGTH + discount * (outside[two] + 1)) * p[two]
+        out[two] += once <= at_random[two] * (once + twice)
+        for least, most in ((3, 4), (5, FEW)):  # by products, all sizes together: S(n, t) is 0 for t > n
+            cells_of = small[(n[small] >= least) & (n[small] <= most)]
+            s = np.exp(log_stirling(discount, FEW)[:, 1 : most + 1]) if len(cells_of) else None
+            for at in range(0, len(cells_of), (1 << 19) // most):
+                cells = cells_of[at : at + (1 << 19) // most]
+                opened = (STRENGTH + discount * (outside[cells, None] + np.arange(most))) * p[cells, None]
+                total = np.cumsum(s[n[cells]] * np.cumprod(opened, axis=1), axis=1)
+                out[cells] = 1 + (total <= at_random[cells, None] * total[:, -1:]).sum(1)
+        small = small[n[small] > FEW]
+    if len(small):
         by_n = small[np.argsort(n[small], kind="stable")]
         most = int(n[by_n[-1]])
-        log_s = log_stirling(discount, next(m for m in (16, 128, EXACT) if m >= most))
+        log_s = log_stirling(discount, next(m for m in (128, EXACT) if m >= most))
         begin = np.flatnonzero(np.diff(n[by_n], prepend=0))
         for low, high in zip(begin, np.append(begin[1:], len(by_n)), strict=True):
             k = int(n[by_n[low]])
@@ -192,6 +208,7 @@ class State:
     distinct: int
     buckets: int
     seed: int
+    most_rare: int = 0  # the most training tokens that a rare word can have
     context_tables: np.ndarray | None = None  # of each frequent word as a context
     word_tables: np.ndarray | None = None  # of each frequent word in all contexts: the parent's customers
     own_tables: np.ndarray | None = None  # the parent's tables of it
@@ -201,6 +218,10 @@ class State:
     parent_discount: float = 0.5
     round: int = 0
 
+    @property
+    def rare_buckets(self) -> int:
+        return max(1, self.buckets // 8)
+
     def parent(self, tables: np.ndarray, own: np.ndarray, without: np.ndarray | int = 0) -> np.ndarray:
         """The parent's probability of words with so many customers and tables there, `without` some of the customers."""
         fresh = (STRENGTH + self.parent_discount * self.all_own) / (self.distinct + 1)
@@ -210,13 +231,41 @@ class State:
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
-def sweeps(kind: int, u: np.ndarray, w: np.ndarray, n: np.ndarray, s: State) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+@dataclass
+class Handed:
+    """Pairs of two rare words that may have more than one table: their cells in a bucket, and what the other bucket says.
+
+    That is their tables for the context's bucket, the context's other tables for the word's.
+    """
+
+    at: np.ndarray
+    value: np.ndarray
+
+
+def open_pairs(u: np.ndarray, w: np.ndarray, n: np.ndarray, s: State, rounds: int) -> np.ndarray:
+    """Cells of two rare words (of a bucket of rare words) to which a sweep of any round could give a second table."""
+    at = np.flatnonzero((u >= RARE) & (w >= RARE) & (n > 1))
+    if not len(at):
+        return at
+    of = np.unique(w, return_inverse=True)[1]
+    p = (np.bincount(of, n)[of[at]] + (STRENGTH + s.parent_discount * s.total) / (s.distinct + 1)) / (STRENGTH + s.all_tables)
+    keys, outside = cell_keys(u[at], w[at], s.seed), np.full(len(at), s.most_rare)
+    can = n[at] > EXACT
+    few = np.where(can, 1, n[at])
+    for sweep in range(rounds * SWEEPS):
+        can |= draw(few, outside, p, s.discount, keys, sweep) > 1
+    return at[can]
+
+
+def sweeps(kind: int, u: np.ndarray, w: np.ndarray, n: np.ndarray, s: State, handed: Handed | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Tables of a bucket's cells (sorted by context) after each sweep, with sums of tables.
 
     Of frequent words' pairs: (tables, tables of each restaurant, -); of rare words' pairs: (tables, each word's
     tables in all contexts, the parent's tables of it).
     """
     t = (n > 0).astype(np.int64)
+    if handed and kind == _FREQUENT_WORD:
+        t[handed.at] = handed.value
     keys = cell_keys(u, w, s.seed)
     rare_u, rare_w = u >= RARE, w >= RARE
     own_u = np.where(rare_u, 0, u)
@@ -238,12 +287,17 @@ def sweeps(kind: int, u: np.ndarray, w: np.ndarray, n: np.ndarray, s: State) ->
                 t[at] = now
             yield t, tables, of
     else:
+        others = np.full(len(n), -1)
+        if handed:
+            others[handed.at] = handed.value
+            todo = np.union1d(todo, handed.at)
+        others = others[todo]
         words, of = np.unique(w, return_inverse=True)
         tables = np.bincount(of, t, len(words)).astype(np.int64)
         own, known = np.minimum(tables, 1), np.flatnonzero(tables)
         word_keys = cell_keys(words, words, s.seed)
         for k in range(SWEEPS):
-            outside = np.maximum(s.context_tables[own_u[todo]] - t[todo], 0)
+            outside = np.where(others < 0, np.maximum(s.context_tables[own_u[todo]] - t[todo], 0), others)
             p = s.parent(tables[of[todo]], own[of[todo]], t[todo])
             t[todo] = draw(n[todo], outside, p, s.discount, keys[todo], s.round * SWEEPS + k)
             tables = np.bincount(of, t, len(words)).astype(np.int64)
@@ -295,7 +349,7 @@ def learn_words(train: DataFrame, frequent: int, bucket_tokens: int, seed: int)
     total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n"), F.coalesce(F.sum(F.when(F.col("word") == -1, F.col("n"))), F.lit(0))).first()
     top = _most_frequent(counts.where("word >= 0"), frequent)
     number = np.concatenate([[ends], top["n"].to_numpy(np.int64)])
-    return State(top["word"].to_numpy(np.int64), number, int(total), int(distinct), max(1, -(-int(total) // bucket_tokens)), seed)
+    return State(top["word"].to_numpy(np.int64), number, int(total), int(distinct), max(1, -(-int(total) // bucket_tokens)), seed, int(top["n"].min()) if len(top) else int(total))
 
 
 # --- buckets --------------------------------------------------------------------------------------------------
@@ -314,7 +368,6 @@ def bucketed(rows: DataFrame, shared) -> DataFrame:
         sort = np.argsort(s.hashes)
         hashes, numbers = s.hashes[sort], sort + 1
         base, known = s.base(s.counts), s.counts > 0
-        rare_buckets = max(1, s.buckets // 8)
         next_row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
             for piece in pieces(batch, "text", _PIECE):
@@ -340,7 +393,7 @@ def bucketed(rows: DataFrame, shared) -> DataFrame:
                 yield _batch(_TEXT, spread, None, row, piece.column(0), piece.column(1), pa.array(sizes + 1), *map(pa.array, kept))
 
                 by = np.where(easy, np.where(u < RARE, cell_keys(u, w, 0), mix64(u.astype(np.uint64))), mix64(w.astype(np.uint64)))
-                bucket = (by % np.where(easy, np.uint64(s.buckets), np.uint64(rare_buckets))).astype(np.int64) + np.where(easy, 0, s.buckets)
+                bucket = (by % np.where(easy, np.uint64(s.buckets), np.uint64(s.rare_buckets))).astype(np.int64) + np.where(easy, 0, s.buckets)
                 learned = ~piece.column(1).to_numpy(zero_copy_only=False)[doc]
                 yield from _blocks(bucket, before, own, words, doc, learned, row)
                 both = np.flatnonzero(~easy & (u >= RARE))
@@ -424,15 +477,71 @@ def _merge(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.nda
 # --- sampling and scoring -------------------------------------------------------------------------------------
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], bytes | None]]:
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], bytes | None, Handed | None]]:
+    """Of rows (kind, cells, links[, texts])."""
     for batch in batches:
-        held = batch.column(2) if batch.num_columns > 2 else None
-        for i, (kind, cells) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-            yield kind, unpack(cells.as_py(), 4), held[i].as_py() if held is not None else None
+        held = batch.column(3) if batch.num_columns > 3 else None
+        for i, (kind, cells, links) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True)):
+            u, w, n, many = unpack(cells.as_py(), 4)
+            yield kind, [u, w, n, many], held[i].as_py() if held is not None else None, _handed(u, w, links)
+
+
+def _handed(u: np.ndarray, w: np.ndarray, links: list[bytes] | None) -> Handed | None:
+    """Where the linked pairs are among cells sorted by context and word."""
+    if not links:
+        return None
+    of_u, of_w, value = (np.concatenate(x) for x in zip(*(unpack(x, 3) for x in links), strict=True))
+    low, high = np.searchsorted(u, of_u), np.searchsorted(u, of_u, "right")
+    at = np.array([a + np.searchsorted(w[a:b], x) for a, b, x in zip(low, high, of_w, strict=True)], np.int64)
+    order = np.argsort(at)
+    return Handed(at[order], value[order])
+
+
+def _links(kind: int, u: np.ndarray, w: np.ndarray, value: np.ndarray, s: State) -> Iterator[pa.RecordBatch]:
+    """What a bucket hands on of its pairs: a row for each bucket of the other kind."""
+    to = mix64((w if kind == _FREQUENT_WORD else u).astype(np.uint64)) % np.uint64(s.rare_buckets if kind == _FREQUENT_WORD else s.buckets)
+    to = to.astype(np.int64) + (s.buckets if kind == _FREQUENT_WORD else 0)
+    found = np.unique(to)
+    packed = [pack(u[to == b], w[to == b], value[to == b]) for b in found]
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.array(packed, pa.binary()), pa.array(np.full(len(found), _RARE_WORD + _FREQUENT_WORD - kind), pa.int32()), pa.array(found)], _LINKS)
+
+
+_LINKS = ["slice", "tables", "kind", "bucket"]
+_LINK_ROW = "slice long, tables binary, kind int, bucket long"
+
+
+def linked(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The buckets with what others handed them (`links`); few of them do, or the join is a shuffle."""
+    if links is None:
+        return buckets.withColumn("links", F.lit(None).cast("array<binary>"))
+    mine = links.where("slice is null").groupBy("kind", "bucket").agg(F.collect_list("tables").alias("links"))
+    return buckets.join(mine, ["kind", "bucket"], "left")
+
+
+def first_links(buckets: DataFrame, shared, rounds: int) -> DataFrame | None:
+    """The open pairs with their contexts' other tables, one for each cell, handed to the words' buckets, and one table each to the contexts'. None where there are none."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, (u, w, n, _), _, _ in _each(batches):
+            at = open_pairs(u, w, n, shared.value, rounds)
+            yield from _links(kind, u[at], w[at], np.ones(len(at), np.int64), shared.value)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, (u, w, n, _), _, handed in _each(batches):
+            of = np.unique(u, return_inverse=True)[1]
+            at = handed.at
+            yield from _links(kind, u[at], w[at], np.bincount(of, n > 0).astype(np.int64)[of[at]] - 1, shared.value)
+
+    cells = linked(buckets.where(f"kind = {_RARE_WORD}"), None).select("kind", "cells", "links")
+    ones = written(cells.mapInArrow(opened, _LINK_ROW))
+    if ones.isEmpty():
+        return None
+    contexts = linked(buckets.where(f"kind = {_FREQUENT_WORD}"), ones).where("links is not null").select("kind", "cells", "links")
+    return ones.unionByName(written(contexts.mapInArrow(others, _LINK_ROW)))
 
 
-def round_sums(buckets: DataFrame, shared, sample: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of frequent contexts and of frequent words after a round's last sweep (one a cell, where none is sampled), and sums.
+def round_sums(buckets: DataFrame, shared, sample: bool, links: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame | None]:
+    """Tables of frequent contexts and of frequent words after a round's last sweep (one a cell, where none is sampled), sums, and links for the next round.
 
     The sums: cells of one and of two customers; rare words of one and of two tables; rare words' tables, and the parent's of them.
     """
@@ -440,10 +549,13 @@ def round_sums(buckets: DataFrame, shared, sample: bool) -> tuple[np.ndarray, np
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: State = shared.value
         of_context, of_word, sums = np.zeros(len(s.counts), np.int64), np.zeros(len(s.counts), np.int64), np.zeros(6, np.int64)
-        for kind, (u, w, n, _), _ in _each(batches):
+        for kind, (u, w, n, _), _, handed in _each(batches):
             t, tables, own = (n > 0).astype(np.int64), None, None
-            for t, tables, own in sweeps(kind, u, w, n, s) if sample else ():
+            for t, tables, own in sweeps(kind, u, w, n, s, handed) if sample else ():
                 pass
+            if handed:
+                at = handed.at
+                yield from _links(kind, u[at], w[at], tables[own[at]] - t[at] if kind == _FREQUENT_WORD else t[at], s)
             if kind == _RARE_WORD:
                 if not sample:
                     tables = np.bincount(np.unique(w, return_inverse=True)[1], t).astype(np.int64)
@@ -457,7 +569,7 @@ def round_sums(buckets: DataFrame, shared, sample: bool) -> tuple[np.ndarray, np
             easy = u < RARE
             of_context += np.bincount(u[easy], t[easy], len(of_context)).astype(np.int64)
         for k, (a, b) in enumerate(zip(np.array_split(of_context, _SLICES), np.array_split(of_word, _SLICES), strict=True)):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pack(a, b, sums if k == 0 else sums * 0)], pa.binary())], ["slice", "tables"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pack(a, b, sums if k == 0 else sums * 0)], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], _LINKS)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, list[np.ndarray]] = {}
@@ -468,13 +580,14 @@ def round_sums(buckets: DataFrame, shared, sample: bool) -> tuple[np.ndarray, np
         for k, x in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pack(*x)], pa.binary())], ["slice", "tables"])
 
-    cells = buckets.where(f"kind <> {_TEXT}").select("kind", "cells")
-    kind = "slice long, tables binary"
-    rows = cells.mapInArrow(summed, kind).repartition(_SLICES, "slice").mapInArrow(added, kind).collect()
+    cells = linked(buckets.where(f"kind <> {_TEXT}"), links).select("kind", "cells", "links").mapInArrow(summed, _LINK_ROW)
+    cells = cells if links is None else written(cells)
+    rows = cells.where("slice is not null").select("slice", "tables").repartition(_SLICES, "slice").mapInArrow(added, "slice long, tables binary").collect()
+    after = None if links is None else cells
     found = {r["slice"]: unpack(bytes(r["tables"]), 3) for r in rows}
     if not found:
-        return np.zeros(len(shared.value.counts), np.int64), np.zeros(len(shared.value.counts), np.int64), np.zeros(6, np.int64)
-    return np.concatenate([found[k][0] for k in range(_SLICES)]), np.concatenate([found[k][1] for k in range(_SLICES)]), found[0][2]
+        return np.zeros(len(shared.value.counts), np.int64), np.zeros(len(shared.value.counts), np.int64), np.zeros(6, np.int64), after
+    return np.concatenate([found[k][0] for k in range(_SLICES)]), np.concatenate([found[k][1] for k in range(_SLICES)]), found[0][2], after
 
 
 def seat_words(s: State) -> State:
@@ -487,19 +600,20 @@ def seat_words(s: State) -> State:
     return replace(s, own_tables=np.where(s.word_tables > 0, own, 0))
 
 
-def sample(buckets: DataFrame, s: State, rounds: int) -> State:
-    """The state before the last round: one table for each cell at first, then `rounds` - 1 rounds."""
+def sample(buckets: DataFrame, s: State, rounds: int) -> tuple[State, DataFrame | None]:
+    """The state before the last round, and the links: one table for each cell at first, then `rounds` - 1 rounds."""
     context = buckets.sparkSession.sparkContext
-    of_context, of_word, sums = round_sums(buckets, context.broadcast(s), sample=False)
+    of_context, of_word, sums, _ = round_sums(buckets, context.broadcast(s), sample=False)
     own = np.minimum(of_word, 1)
     of_words = [int(sums[2 + k] + (of_word[1:] == k + 1).sum()) for k in range(2)]
     s = replace(s, discount=discount_of(*sums[:2]), parent_discount=discount_of(*of_words), context_tables=of_context, word_tables=of_word, own_tables=own, all_tables=int(of_word.sum() + sums[4]), all_own=int(own.sum() + sums[5]))
+    links = first_links(buckets, context.broadcast(s), rounds)
     s = seat_words(s)
     for k in range(rounds - 1):
         s = replace(s, round=k, all_own=int(s.own_tables.sum() + sums[5]))
-        of_context, of_word, sums = round_sums(buckets, context.broadcast(s), sample=True)
+        of_context, of_word, sums, links = round_sums(buckets, context.broadcast(s), True, links)
         s = seat_words(replace(s, round=k + 1, context_tables=of_context, word_tables=of_word, own_tables=np.minimum(np.maximum(s.own_tables, 1), of_word), all_tables=int(of_word.sum() + sums[4])))
-    return replace(s, round=rounds - 1, all_own=int(s.own_tables.sum() + sums[5]))
+    return replace(s, round=rounds - 1, all_own=int(s.own_tables.sum() + sums[5])), links
 
 
 class _TextSums:
@@ -548,8 +662,8 @@ def finished(parts: DataFrame) -> DataFrame:
     return in_order.mapInArrow(added, "doc_id long, held_out boolean, tokens long, known double, base double, score double")
 
 
-def _averages(kind: int, u: np.ndarray, w: np.ndarray, n: np.ndarray, s: State) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Over the sweeps after burn-in, for each cell: its own share, what its context leaves to the parent, the parent's share; and the context's customers."""
+def _averages(kind: int, u: np.ndarray, w: np.ndarray, n: np.ndarray, s: State, handed: Handed | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over the sweeps after burn-in, for each cell: its own share, what its context leaves to the parent, the parent's share; and the context's customers (of a rare context only at its own bucket, else 0)."""
     rare_u = u >= RARE
     known_u = np.where(rare_u, 0, u)
     customers, tables_u = np.where(rare_u, 0, s.counts[known_u]), np.where(rare_u, 0, s.context_tables[known_u])
@@ -557,10 +671,10 @@ def _averages(kind: int, u: np.ndarray, w: np.ndarray, n: np.ndarray, s: State)
     share, left, p = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
     if kind == _FREQUENT_WORD:
         of = np.cumsum(np.diff(u, prepend=-1) != 0) - 1
-        customers = np.where(rare_u, np.bincount(of, n)[of] if len(n) else n, customers)
+        customers = np.where(rare_u, np.bincount(of, n)[of] if len(n) else n.astype(float), customers)
         p = s.parent(s.word_tables[np.where(w >= RARE, 0, w)], s.own_tables[np.where(w >= RARE, 0, w)])
     of_word = np.unique(w, return_inverse=True)[1] if kind == _RARE_WORD else None
-    for k, (t, tables, own) in enumerate(sweeps(kind, u, w, n, s)):
+    for k, (t, tables, own) in enumerate(sweeps(kind, u, w, n, s, handed)):
         if k >= BURN_IN:
             share += (n - s.discount * t) / kept
             if kind == _FREQUENT_WORD:
@@ -572,14 +686,14 @@ def _averages(kind: int, u: np.ndarray, w: np.ndarray, n: np.ndarray, s: State)
     return share / (STRENGTH + customers), left / (STRENGTH + customers), p, customers
 
 
-def score_buckets(buckets: DataFrame, shared) -> DataFrame:
+def score_buckets(buckets: DataFrame, shared, links: DataFrame | None = None) -> DataFrame:
     """Rows of sums over texts of what the buckets make known: (group, sums) of many texts, (group, row, score) of one."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, sums = shared.value, _TextSums()
-        for kind, (u, w, n, many), held in _each(batches):
+        for kind, (u, w, n, many), held, handed in _each(batches):
             rows, often = unpack(held, 2)
-            share, left, p, _ = _averages(kind, u, w, n, s)
+            share, left, p, _ = _averages(kind, u, w, n, s, handed)
             ready = ~((u >= RARE) & (w >= RARE))
             score = np.where(ready, np.log10(np.where(ready, share + left * p, 1.0)), 0.0)
             known = base = np.zeros(len(n))
@@ -591,28 +705,29 @@ def score_buckets(buckets: DataFrame, shared) -> DataFrame:
         yield from sums.done()
 
     def rare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, (u, w, n, _), _ in _each(batches):
-            u, w, n = (x[u >= RARE] for x in (u, w, n))
-            _, left, _, customers = _averages(kind, u, w, n, shared.value)
+        for kind, (u, w, n, _), _, handed in _each(batches):
+            low = np.searchsorted(u, RARE)  # the rare ones are the last
+            u, w, n = (x[low:] for x in (u, w, n))
+            _, left, _, customers = _averages(kind, u, w, n, shared.value, handed and Handed(handed.at - low, handed.value))
             at = np.flatnonzero(w >= RARE)
             at = at[_runs(u[at])] if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(left[at]), pa.array(customers[at])], ["u", "left", "customers"])
 
     def rare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, (u, w, n, many), held in _each(batches):
+        for kind, (u, w, n, many), held, handed in _each(batches):
             rows, often = unpack(held, 2)
-            p = _averages(kind, u, w, n, shared.value)[2]
+            share, _, p, _ = _averages(kind, u, w, n, shared.value, handed)
             at = np.repeat(np.arange(len(u)), many)
             both = (u[at] >= RARE) & (w[at] >= RARE)
             at = at[both]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[at], n[at].astype(np.int64), p[at], rows[both], often[both])], ["u", "n", "p", "row", "often"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[at], share[at] * STRENGTH, p[at], rows[both], often[both])], ["u", "share", "p", "row", "often"])
 
-    s = shared.value
+    buckets = linked(buckets.where(f"kind <> {_TEXT}"), links)
     frequent, rare = buckets.where(f"kind = {_FREQUENT_WORD}"), buckets.where(f"kind = {_RARE_WORD}")
-    whole = buckets.where(f"kind <> {_TEXT}").select("kind", "cells", "texts").mapInArrow(scored, "group long, sums binary")
-    contexts = frequent.select("kind", "cells").mapInArrow(rare_contexts, "u long, left double, customers double")
-    pairs = rare.select("kind", "cells", "texts").mapInArrow(rare_pairs, "u long, n long, p double, row long, often long").join(contexts, "u", "left")
-    own = F.when(F.col("n") > 0, (F.col("n") - s.discount) / (STRENGTH + F.col("customers"))).otherwise(0.0)
+    whole = buckets.select("kind", "cells", "links", "texts").mapInArrow(scored, "group long, sums binary")
+    contexts = frequent.select("kind", "cells", "links").mapInArrow(rare_contexts, "u long, left double, customers double")
+    pairs = rare.select("kind", "cells", "links", "texts").mapInArrow(rare_pairs, "u long, share double, p double, row long, often long").join(contexts, "u", "left")
+    own = F.coalesce(F.col("share") / (STRENGTH + F.col("customers")), F.lit(0.0))
     score = F.col("often") * F.log10(own + F.coalesce("left", F.lit(1.0)) * F.col("p"))
     return whole.unionByName(pairs.select(F.shiftright("row", _GROUP).alias("group"), "row", score.alias("score")), allowMissingColumns=True)
 
@@ -630,8 +745,8 @@ def score_texts(
     spark = docs.sparkSession.sparkContext
     state = learn_words(rows.where("not held_out"), frequent, bucket_tokens, seed)
     buckets = bucketed(rows, spark.broadcast(state))
-    state = sample(buckets, state, rounds)
+    state, links = sample(buckets, state, rounds)
     own = buckets.where(f"kind = {_TEXT}").select(F.shiftright("row", _GROUP).alias("group"), "row", "doc_id", "held_out", "tokens", "known", "base")
-    found = finished(own.unionByName(score_buckets(buckets, spark.broadcast(state)), allowMissingColumns=True))
+    found = finished(own.unionByName(score_buckets(buckets, spark.broadcast(state), links), allowMissingColumns=True))
     known = F.round("known").cast("long").alias("n_known")
     return found.select("doc_id", "held_out", F.col("tokens").alias("n_tokens"), known, F.lit(state.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
